@@ -9,16 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
-def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, judge
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_by_bytes
+
+    return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_digests
 
-    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return encode_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_bpe,)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op6_sharding, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
