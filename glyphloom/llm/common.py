@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,12 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def settle(df: DataFrame, parts: int | None = None) -> DataFrame:
+def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, outlives lost executors, and keeps what is computed once from being computed again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
-    (df if parts is None else df.coalesce(parts)).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again, and let Spark delete the shuffles behind them."""
+    for df in tables:
+        if path := getattr(df, "settled_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
