@@ -34,6 +34,12 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_by_bytes
 
@@ -69,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_jaccard, op6_sharding, op7_embeddings, op8_urls, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op4_jaccard, op5_dedup, op6_sharding, op7_embeddings, op8_urls, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
