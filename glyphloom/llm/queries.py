@@ -28,6 +28,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar_documents
 
@@ -75,7 +81,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_quality, op4_jaccard, op5_dedup, op6_sharding, op7_embeddings, op8_urls, op9_toxicity, op10_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_quality, op3_licenses, op4_jaccard, op5_dedup, op6_sharding, op7_embeddings, op8_urls, op9_toxicity, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -256,3 +256,14 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
     small_batches(docs.sparkSession)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int, n_matches long"])
     return docs.select(F.col(text).cast("string").alias("__text"), *keep).mapInArrow(run, schema)
+
+
+def score_column(model: Model, text):
+    """The score as a column, for rows whose other columns stay where they are."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([model.lexicon.matches(t) for t in texts], float).reshape(-1, KINDS)))
+
+    return of(text.cast("string"))
