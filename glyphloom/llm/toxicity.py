@@ -262,8 +262,8 @@ def score_column(model: Model, text):
     """The score as a column, for rows whose other columns stay where they are."""
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    def of(texts):
         return pd.Series(model.score(np.array([model.lexicon.matches(t) for t in texts], float).reshape(-1, KINDS)))
 
-    return of(text.cast("string"))
+    of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(of, "double")(text.cast("string"))
