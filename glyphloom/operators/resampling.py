@@ -17,15 +17,23 @@ def hash_order(rep, *parts):
     return F.md5(F.concat_ws("|", *(c.cast("string") for c in (rep, *parts))))
 
 
-def permuted_cells(pairs: DataFrame, n: int, strata: tuple[str, ...], pos: str = "pos") -> DataFrame:
-    """pairs: strata, pos, a, b. rep, strata, a, b, n with the b's of each stratum in the order of a hash. Replicates multiply the rows n times, within their strata; no stratum is joined to another."""
-    spark = pairs.sparkSession
+def permuted_cells(pairs: DataFrame, n: int, strata: tuple[str, ...], pos: str = "pos", paged: bool = True) -> DataFrame:
+    """pairs: strata, pos, a, b. rep, strata, a, b, n with the b's of each stratum in the order of a hash.
+
+    paged: a stratum, such as a page, fits in a row; its pairs are gathered once and each replicate sorts them there, so nothing but the cells is shuffled again. Otherwise strata of any size are ordered by windows, which spill.
+    """
     keys = ["rep", *strata]
+    reps = F.explode(F.sequence(F.lit(1), F.lit(n)))
+    if paged:
+        rows = pairs.groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), "a", "b"))).alias("own")).withColumn("rep", reps)
+        drawn = F.sort_array(F.transform("own", lambda x: F.struct(hash_order(F.col("rep"), *(F.col(s) for s in strata), x["pos"]).alias("h"), x["pos"].alias("pos"), x["b"].alias("b"))))
+        both = F.zip_with("own", drawn, lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
+        return rows.select(*keys, F.explode(both).alias("p")).groupBy(*keys, "p.a", "p.b").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(pos)))
-    drawn = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(F.col("rep"), *(F.col(s) for s in strata), F.col(pos)), F.col(pos)))
-    rows = pairs.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).select(*keys, pos, "a", "b")
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_order(F.col("rep"), *(F.col(s) for s in strata), F.col(pos)), F.col(pos)))
+    rows = pairs.withColumn("rep", reps).select(*keys, pos, "a", "b")
     left = rows.select(*keys, "a", place.alias("k"))
-    right = rows.select(*keys, "b", drawn.alias("k"))
+    right = rows.select(*keys, "b", order.alias("k"))
     return left.join(right, [*keys, "k"]).groupBy(*keys, "a", "b").agg(F.count("*").alias("n"))
 
 

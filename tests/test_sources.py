@@ -132,3 +132,12 @@ def test_sequences():
     assert sorted(codecs.readings("aab", {"a": ["x"], "aa": ["y"], "b": ["z"]})) == ["xxz", "yz"]
     d = np.array([[0, 1, 9], [1, 0, 9], [9, 9, 0.0]])
     assert sequences.average_linkage(d, 2).tolist() == [0, 0, 1]
+
+
+def test_permutations_by_page_and_by_window(spark):
+    from glyphloom.operators import resampling
+
+    rows = [(p, i, "ab"[(p + i) % 2], "xyz"[(i * i + p) % 3]) for p in range(4) for i in range(30)]
+    pairs = spark.createDataFrame(rows, "page int, pos int, a string, b string")
+    one, two = (sorted(tuple(r) for r in resampling.permuted_cells(pairs, 3, ("page",), paged=p).collect()) for p in (True, False))
+    assert one == two and sum(r[-1] for r in one) == 3 * len(rows)
