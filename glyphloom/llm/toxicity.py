@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from .common import small_batches
 #: Labelled rows learned from, at most: those with the least hash of their key. Entries of the lexicon, at most.
 FIT_ROWS, LEXICON = 20_000, 1000
 #: A term must be in this share of the toxic texts and in so many at least; texts that aren't toxic may have it so often for each toxic one; stems have so many letters and endings.
-SHARE, LEAST, STRAY, STEMS, ENDINGS = 0.02, 3, 0.02, (4, 7), 3
+SHARE, LEAST, STRAY, STEMS, ENDINGS = 0.02, 4, 0.02, (4, 7), 3
 #: Words over which a negation and a target reach.
 REACH_NOT, REACH_AIM = 3, 4
 SCORE_AT = 0.3
@@ -171,17 +172,18 @@ def words_of(text: str | None) -> set[str]:
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """sample: text, toxic (1 or 0)."""
+    """sample: text, toxic (1 or 0). Near copies count once for a word: texts with the same least hash of a word are one family."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = list(words_of(text))
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int64())], ["word", "toxic"])
+                family = min(map(xxhash.xxh3_64_intdigest, words), default=0) >> 1
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int64()), pa.array([family] * len(words), pa.int64())], ["word", "toxic", "family"])
 
     n = sample.agg(F.sum("toxic")).first()[0] or 0
     least = max(LEAST, SHARE * n)
-    words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "word string, toxic long, family long").groupBy("word", "family").agg(F.max("toxic").alias("bad"), (1 - F.min("toxic")).alias("good")).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     some = words.withColumn("stem", F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda k: F.when(k <= F.length("word"), F.substring("word", F.lit(1), k))))).where("stem is not null")
     stems = some.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum(F.expr("if(bad > 0, 1, 0)")).alias("endings"))
     firm = f"bad >= {least} and good <= {STRAY} * bad"
