@@ -37,11 +37,15 @@ def both(t: float, rho: float) -> float:
 
 def directions(n: int, dim: int, cosine: float) -> tuple[float, int, int]:
     """Threshold in standard deviations, parts, and words of each part's code."""
-    share = min(0.05, BUCKET / max(n, 1))
+    if n <= BUCKET:
+        return -4.0 * math.sqrt(dim), 1, 2  # every vector passes every direction
+    share = BUCKET / n
     low, high = 0.0, 40.0
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if tail(middle) > share else (low, middle)
+    low = min(low, 0.6 * math.sqrt(dim))  # in few dimensions no vector may come nearer
+    share = tail(low)
     parts = max(1, min(PARTS, dim))
     wanted = -math.log(MISS) / max(both(low, cosine), 1e-6) / share / CODES  # directions of one code
     return low, parts, max(2, math.ceil(wanted ** (1 / parts)))

@@ -35,8 +35,8 @@ TEMPLATES = (
 #: A line is part of a block if it holds one of these.
 MARKS = ("licen", "copyright", "permission is hereby", "redistribut", "creative commons", "cc by")
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
-#: A template must save so much of a block's own size; so many of the best are confirmed; words lacking and added may be this share of the template's words.
-SAVED, BEST, DIFFERENT, LEVEL = 0.2, 4, 0.1, 3
+#: A template must save so much of a block's own size; so many of the best are confirmed; words lacking and added together may be this share of the template's words (an exchanged word is one of each).
+SAVED, BEST, DIFFERENT, LEVEL = 0.2, 4, 0.2, 3
 #: Lines longer than this are cut at sentence ends first, so that a notice within a line of prose is a block of its own.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?](?![\s])[^.!?\n]*)*[.!?]?\s*")
 
