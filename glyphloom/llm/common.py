@@ -42,9 +42,8 @@ def release(*tables: DataFrame) -> None:
         if path := getattr(df, "settled_at", None):
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-    if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

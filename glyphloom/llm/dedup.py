@@ -155,7 +155,9 @@ def repeats(texts: DataFrame) -> DataFrame:
         spans = spans.union(settle(counted_windows(parts.where(f"unlike > {MOST}"))))
     release(parts)
     moved = all_of.join(spans, ["gram", "context"]).select("key", F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
-    return moved.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = settle(moved.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    release(all_of, classes, found)
+    return out
 
 
 def keep(text: bytes, spans) -> tuple[bytes, int, int]:
@@ -178,7 +180,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     """key and keep_columns of every row, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if asked for."""
     bytes_of = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     texts = docs.select(row_key(key, text).alias("key"), bytes_of.alias("t"))
-    spans = settle(repeats(texts))
+    spans = repeats(texts)
     small_batches(docs.sparkSession)
     names = [key, *keep_columns]
     joined = docs.select(*names, row_key(key, text).alias("__key"), bytes_of.alias("__t")).join(spans.withColumnsRenamed({"key": "__key", "spans": "__spans"}), "__key", "left").select("__t", "__spans", *names)

@@ -11,9 +11,6 @@ Defined results: null, empty and blank texts have an empty set and link with not
 
 from __future__ import annotations
 
-import functools
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, release, settle, small_batches
+from .anchors import BACK, LETTERS, ODD, powers
+from .common import release, settle, small_batches
 from .components import components
 
 N, PERCENT = 5, 75
@@ -32,52 +30,61 @@ FREQUENT, COUNT_RUN, REPORT = 1 << 19, 1 << 21, 3
 BLOCK, SLOTS = 2048, 256
 #: A gram counted more often than this is dealt to several tasks.
 HOT = 4096
-WORDS = re.compile(WORD)
-UPPER = {c: c + 32 for c in range(65, 91)}
-ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
-    x = x * ODD[1]
+    x = x * MIX[0]
     x = x ^ (x >> np.uint64(27))
-    x = x * ODD[2]
+    x = x * MIX[1]
     return x ^ (x >> np.uint64(31))
 
 
-class Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        x = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 300_000:
-            self.clear()
-        if len(word) <= 48:
-            self[word] = x
-        return x
-
-
-HASHES = Hashes()
-
-
-def words_of(text: str) -> list[str]:
-    text = text.translate(UPPER) if not text.isascii() else text.lower()
-    if any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii():
-        return WORDS.findall(text)
-    return text.split()
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes of text taken in at once, about.
+TAKE = 1 << 20
+
+
+def gram_sets(texts: list[str | None], n: int = N) -> Iterator[np.ndarray]:
+    """The distinct grams of each text, ascending. Words are hashed by differences of prefix sums over the bytes of many texts at once; bytes.lower() changes A to Z alone."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append((text or "").encode().lower())
+        size += len(held[-1]) + 1
+        if size > TAKE:
+            yield from grams_of(held, n)
+            held, size = [], 0
+    if held:
+        yield from grams_of(held, n)
+
+
+def grams_of(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    buffer = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    length = 1 << max(16, (len(buffer) - 1).bit_length())
+    blank = BLANK[buffer]
+    turn = np.nonzero(blank[1:] != blank[:-1])[0]  # a word reaches from behind one turn to the next
+    start, last = turn[::2] + 1, turn[1::2]
+    sums = np.cumsum(LETTERS[buffer] * powers(int(ODD), length)[: len(buffer)])
+    words = mix((sums[last] - sums[start - 1]) * powers(int(BACK), length)[start])
+    grams = words[: max(0, len(words) - n + 1)]
+    for k in range(1, n if len(grams) else 1):
+        grams = grams * ODD + words[k : len(words) - n + 1 + k]
+        grams ^= grams >> np.uint64(29)
+    grams = mix(grams)
+    edges = np.concatenate([[0], np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if b - a >= n:
+            own = np.sort(grams[a : b - n + 1])
+            yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+        else:
+            yield mix(np.array([xxhash.xxh3_64_intdigest(words[a:b].tobytes())], np.uint64)) if b > a else np.zeros(0, np.uint64)
 
 
 def gram_set(text: str | None, n: int = N) -> np.ndarray:
-    """The distinct grams, ascending."""
-    words = words_of(text or "")
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
-    if len(words) < n:
-        return mix(np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64))
-    out = h[: len(h) - n + 1]
-    for k in range(1, n):
-        out = out * ODD[0] + h[k : len(h) - n + 1 + k]
-        out = out ^ (out >> np.uint64(29))
-    return np.unique(mix(out))
+    return next(gram_sets([text], n))
 
 
 def class_of(grams: np.ndarray) -> int:
@@ -98,7 +105,7 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def classes_and_counts(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: id, class (null without words), size; kind 1: a gram that is frequent in a run of grams, and its count there."""
+    """kind 0: id, class (null without words), size and slots; kind 1: a gram that is frequent in a run of grams, and its count there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
@@ -107,26 +114,26 @@ def classes_and_counts(docs: DataFrame, n: int) -> DataFrame:
             grams, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             some = counts >= REPORT
             k = int(some.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(signed(grams[some])), pa.array(counts[some].astype(np.int64))], ["kind", "id", "class", "size"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(signed(grams[some])), pa.array(counts[some].astype(np.int64)), pa.nulls(k, pa.binary())], ["kind", "id", "class", "size", "slots"])
 
         for b in batches:
-            classes, sizes = [], []
-            for text in b.column(1).to_pylist():
-                grams = gram_set(text, n)
+            classes, sizes, parts = [], [], []
+            for grams in gram_sets(b.column(1).to_pylist(), n):
                 c = class_of(grams) if len(grams) else None
                 classes.append(c)
                 sizes.append(len(grams))
+                parts.append(slots(grams) if len(grams) else None)
                 if c is not None and c not in seen:
                     seen.add(c)
                     held.append(grams)
                     total += len(grams)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64())], ["kind", "id", "class", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["kind", "id", "class", "size", "slots"])
             if total >= COUNT_RUN:
                 yield report()
                 held, total = [], 0
         yield report()
 
-    return docs.mapInArrow(run, "kind int, id long, class long, size long")
+    return docs.mapInArrow(run, "kind int, id long, class long, size long, slots binary")
 
 
 def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -168,8 +175,7 @@ def prefixes(docs: DataFrame, known: np.ndarray, counts: np.ndarray, n: int, per
         seen = set()
         for b in batches:
             grams, classes, ats = [], [], []
-            for text in b.column(1).to_pylist():
-                g = gram_set(text, n)
+            for g in gram_sets(b.column(1).to_pylist(), n):
                 if not len(g) or (c := class_of(g)) in seen:
                     continue
                 seen.add(c)
@@ -293,77 +299,107 @@ def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def slots(grams: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=SLOTS), 65535).astype("<u2").tobytes()
+    """How many grams fall in each slot; 255 stands for so many or more."""
+    return np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=SLOTS), 255).astype(np.uint8).tobytes()
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
-    """class, grams (binary) and slots of the documents given."""
+    """class and grams (binary) of the documents given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [gram_set(t, n) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([class_of(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary()), pa.array([slots(g) for g in sets], pa.binary())], ["class", "grams", "slots"])
+            sets = list(gram_sets(b.column(1).to_pylist(), n))
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], ["class", "grams"])
 
-    return docs.mapInArrow(run, "class long, grams binary, slots binary")
+    return docs.mapInArrow(run, "class long, grams binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets reach the threshold: suffix filter on the slots, then the sets themselves."""
+def attach(pairs: DataFrame, of: DataFrame, *what: str) -> DataFrame:
+    """pairs a, b with what each of them has in `of` (by class), as x_ and y_ columns."""
+    side = lambda c, p: of.select(F.col("class").alias(c), *(F.col(w).alias(f"{p}_{w}") for w in what))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", *(f"{p}_{w}" for w in what for p in "xy"))
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
-                most = int(np.minimum(x, y).sum()) if max(x.max(), y.max()) < 65535 else int(x.sum())
-                keep.append(max(x.max(), y.max()) == 65535 or most >= needed(int(x.sum()), int(y.sum()), percent))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def kept_pairs(rows: DataFrame, test) -> DataFrame:
+    """a, b of the rows for which test(x, y, ...) of the other columns holds; test gets lists and gives a mask."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                o = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * o >= percent * (len(x) + len(y) - o))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            mask = test(*(c.to_pylist() for c in b.columns[2:])) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
+
+    return rows.mapInArrow(run, "a long, b long")
+
 
-    def attach(rows: DataFrame, what: str) -> DataFrame:
-        of = lambda c: sets.select(F.col("class").alias(c), F.col(what).alias(f"of_{c}"))
-        return rows.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
+def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: the pairs whose slots allow the overlap."""
 
-    small_batches(pairs.sparkSession)
-    likely = settle(attach(pairs, "slots").mapInArrow(bounded, "a long, b long"))
-    return attach(likely, "grams").mapInArrow(exact, "a long, b long")
+    def test(x: list[bytes], y: list[bytes], n: list[int], m: list[int]) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), SLOTS) for v in (x, y))
+        most = np.minimum(x, y).sum(1, dtype=np.int64)
+        full = ((x == 255) & (y == 255)).any(1)
+        return full | (most >= needed(np.array(n), np.array(m), percent))
+
+    return kept_pairs(attach(pairs, reps, "slots", "size"), test)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
+
+    def test(x: list[bytes], y: list[bytes]) -> list[bool]:
+        out = []
+        for u, v in zip(x, y):
+            u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+            at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+            o = int((v[at] == u).sum())
+            out.append(100 * o >= percent * (len(u) + len(v) - o))
+        return out
+
+    return kept_pairs(attach(pairs, sets, "grams"), test)
 
 
 def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id of every row."""
+    """key, n_shingles and component_id of every row.
+
+    Sets are made of candidates alone, twice: of the pairs along each gram, and of the pairs between the components that those give.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     small_batches(spark)
     first = settle(classes_and_counts(texts, n))
     known, counts = frequent(first.where("kind = 1"))
     rows = first.where("kind = 0").select("id", "class", "size")
-    reps = settle(rows.where("class is not null").groupBy("class").agg(F.min("id").alias("rep")))
+    reps = settle(first.where("kind = 0 and class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("slots").alias("slots")))
 
     met = settle(meetings(prefixes(texts, known, counts, n, percent), percent))
-    classes = met.select("class").distinct().join(reps, "class").select(F.col("rep").alias("id"))
-    small_batches(spark)
-    sets = settle(sets_of(texts.join(classes, "id", "left_semi"), n).dropDuplicates(["class"]))
-
-    def ordered(c: str) -> DataFrame:
-        return met.where(f"{c} is not null").select(F.least("class", c).alias("a"), F.greatest("class", c).alias("b"))
-
-    near = settle(verified(ordered("before").union(ordered("pivot")).distinct(), sets, percent))
-    of = settle(components(near))
+    release()
+    pairs = lambda c: met.where(f"{c} is not null").select(F.least("class", c).alias("a"), F.greatest("class", c).alias("b"))
+    def sets_for(chosen: DataFrame, but: DataFrame | None = None) -> DataFrame:
+        """Sets of the classes in pairs, besides those there are."""
+        classes = chosen.select(F.col("a").alias("class")).union(chosen.select("b")).distinct()
+        if but is not None:
+            classes = classes.join(but.select("class"), "class", "left_anti")
+        ids = classes.join(reps, "class").select(F.col("rep").alias("id"))
+        small_batches(spark)
+        return settle(sets_of(texts.join(ids.hint("merge"), "id", "left_semi"), n))  # one way at every size
+
+    near = settle(bounded(pairs("before").union(pairs("pivot")).distinct(), reps, percent))
+    sets = sets_for(near)
+    release()
+    links = settle(verified(near, sets, percent))
+    of = settle(components(links))
     entries = met.select("gram", "class", "at").join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component_id", "class")).drop("component_id")
-    more = settle(verified(settle(cross_pairs(entries, percent)), sets, percent))
-    release(met, sets)
-    if not more.isEmpty():
-        of = settle(components(near.union(more)))
-
-    joined = reps.join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component_id", F.coalesce("component_id", "class"))
+    between = settle(bounded(cross_pairs(entries, percent).join(near, ["a", "b"], "left_anti"), reps, percent))
+    release(met)
+    if not between.isEmpty():
+        sets = sets.union(sets_for(between, sets))
+        release()
+        more = settle(verified(between, sets, percent))
+        if not more.isEmpty():
+            of = settle(components(links.union(more)))
+
+    joined = reps.select("class", "rep").join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component_id", F.coalesce("component_id", "class"))
     least = joined.groupBy("component_id").agg(F.min("rep").alias("least"))
     known_of = settle(joined.join(least, "component_id").select("class", "least"))
+    release(reps, near, between, links)
     return rows.join(known_of, "class", "left").select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
