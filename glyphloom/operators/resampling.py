@@ -25,7 +25,8 @@ def permuted_cells(pairs: DataFrame, n: int, strata: tuple[str, ...], pos: str =
     keys = ["rep", *strata]
     reps = F.explode(F.sequence(F.lit(1), F.lit(n)))
     if paged:
-        rows = pairs.groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), "a", "b"))).alias("own")).withColumn("rep", reps)
+        rows = pairs.groupBy(*strata).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), "a", "b"))).alias("own"))
+        rows = rows.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism).withColumn("rep", reps)  # few bytes, much work
         drawn = F.sort_array(F.transform("own", lambda x: F.struct(hash_order(F.col("rep"), *(F.col(s) for s in strata), x["pos"]).alias("h"), x["pos"].alias("pos"), x["b"].alias("b"))))
         both = F.zip_with("own", drawn, lambda x, y: F.struct(x["a"].alias("a"), y["b"].alias("b")))
         return rows.select(*keys, F.explode(both).alias("p")).groupBy(*keys, "p.a", "p.b").agg(F.count("*").alias("n"))
