@@ -1,6 +1,6 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filter directions are the words of a structured random code: after a random rotation, the dimensions are parted into blocks, each block has a few random unit vectors, and a direction joins one of each. A vector is list-decoded to all directions whose inner product with it is at least a threshold: partial sums that can no longer reach it are cut off. Vectors that share a direction are compared by cosine in double precision. The threshold is set from the number of vectors so that a direction holds about BUCKET of them, and the number of directions so that a pair at the wanted cosine misses all of them with a chance of MISS at most.
+Filter directions are the words of a structured random code: after a random rotation, the dimensions are parted into blocks, each block has a few random unit vectors, and a direction joins one of each. A vector is list-decoded to all directions whose inner product with it is at least a threshold: partial sums that can no longer reach it are cut off. Vectors that share a direction are compared by cosine in double precision. The threshold is set from the number of vectors so that a direction holds about BUCKET of them. Directions of one code share their blocks' vectors, so a pair's hits come in clumps; how often a pair at the wanted cosine shares no direction of a code is therefore measured on TRIALS planted pairs, and codes, which are rotated independently, are added until the product of their misses is MISS at most.
 
 Equal vectors are one class. A direction's vectors are compared in blocks of BLOCK, block against block in a task of its own, so none meets whole in one task; a pair that shares several directions counts in the least of them alone. What leaves a task is a count of links and a pointer to the least vector found for each vector, not pairs.
 
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import settle
 from .components import components
 
-BUCKET, BLOCK, PARTS, CODES, MISS, SEED = 200, 1024, 3, 4, 1e-4, 20
+#: A code has a CODES-th of the directions that would do if their hits were independent; pairs on which a code's misses are measured.
+BUCKET, BLOCK, PARTS, CODES, MISS, SEED, TRIALS = 200, 1024, 2, 8, 1e-4, 20, 2000
 
 
 def tail(t: float) -> float:
@@ -51,38 +52,62 @@ def directions(n: int, dim: int, cosine: float) -> tuple[float, int, int]:
     return low, parts, max(2, math.ceil(wanted ** (1 / parts)))
 
 
+def planted(rng: np.random.Generator, k: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """k random pairs of unit vectors with exactly this cosine; equal vectors in one dimension."""
+    x = rng.standard_normal((k, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim == 1:
+        return x, x
+    z = rng.standard_normal((k, dim))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * z
+
+
 class CapCode:
-    """CODES independent codes; direction numbers are gapless over all of them."""
+    """Independent codes; direction k + number of codes * its number within the code is one of code k."""
 
     def __init__(self, n: int, dim: int, cosine: float):
         self.t, self.parts, self.size = directions(n, dim, cosine)
+        self.least = self.t / math.sqrt(dim)
         rng = np.random.default_rng([SEED, dim])
-        self.turns, self.words = [], []
         edges = np.linspace(0, dim, self.parts + 1).astype(int)
         self.spans = [slice(a, b) for a, b in zip(edges, edges[1:])]
-        for _ in range(CODES):
+        self.words: list[list[np.ndarray]] = []  # by code and part: a column for each word, turned back
+        missed = 1.0
+        while missed > MISS:
             turn, _ = np.linalg.qr(rng.standard_normal((dim, dim)))
-            words = [rng.standard_normal((self.size, s.stop - s.start)) for s in self.spans]
-            self.turns.append(turn)
-            self.words.append([w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt((s.stop - s.start) / dim) for w, s in zip(words, self.spans)])
-        self.least = self.t / math.sqrt(dim)
+            code = []
+            for s in self.spans:
+                w = rng.standard_normal((self.size, s.stop - s.start))
+                code.append(turn[:, s] @ (w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt((s.stop - s.start) / dim)).T)
+            self.words.append(code)
+            if n <= BUCKET:
+                break
+            (i, p), (j, q) = (self.of_code(v, code) for v in planted(rng, TRIALS, dim, cosine))
+            total = self.size**self.parts
+            shared = np.unique(np.intersect1d(i * total + p, j * total + q, assume_unique=True) // total)
+            missed *= (TRIALS - len(shared) + 1) / (TRIALS + 1)
+
+    def of_code(self, x: np.ndarray, code: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of the code's directions that they have."""
+        scores = [x @ w for w in code]
+        rest = np.cumsum([s.max(1) for s in scores][::-1], axis=0)[::-1]
+        rows, sums, ids = np.arange(len(x)), np.zeros(len(x)), np.zeros(len(x), np.int64)
+        for p, s in enumerate(scores):
+            bound = self.least - (rest[p + 1][rows] if p + 1 < self.parts else np.zeros(len(rows)))
+            grid = sums[:, None] + s[rows]
+            a, b = np.nonzero(grid >= bound[:, None])
+            rows, sums, ids = rows[a], grid[a, b], ids[a] * self.size + b
+        return rows, ids
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """The directions of each unit vector, ascending."""
-        out: list[list[np.ndarray]] = [[] for _ in x]
-        for k, (turn, words) in enumerate(zip(self.turns, self.words)):
-            turned = x @ turn
-            scores = [turned[:, s] @ w.T for s, w in zip(self.spans, words)]
-            rest = np.cumsum([s.max(1) for s in scores][::-1], axis=0)[::-1]
-            for i in range(len(x)):
-                sums, ids = np.zeros(1), np.array([k], np.int64)
-                for p, s in enumerate(scores):
-                    bound = self.least - (rest[p + 1][i] if p + 1 < self.parts else 0.0)
-                    grid = sums[:, None] + s[i]
-                    a, b = np.nonzero(grid >= bound)
-                    sums, ids = grid[a, b], ids[a] * self.size + b
-                out[i].append(ids)
-        return [np.sort(np.concatenate(o)) for o in out]
+        found = [self.of_code(x, code) for code in self.words]
+        rows = np.concatenate([r for r, _ in found])
+        ids = np.concatenate([i * len(self.words) + k for k, (_, i) in enumerate(found)])
+        order = np.lexsort((ids, rows))
+        return np.split(ids[order], np.searchsorted(rows[order], np.arange(1, len(x))))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -300,6 +300,19 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [32, 64])
+@pytest.mark.parametrize("n", [10_000, 100_000, 1_000_000])
+def test_pairs_at_the_threshold_share_a_direction(n, dim):
+    """Codes sized for n vectors, on pairs at cosine 0.9 that they were not measured on."""
+    code = embeddings.CapCode(n, dim, 0.9)
+    rng = np.random.default_rng(77)
+    x = embeddings.unit(rng.standard_normal((1000, dim)))
+    z = rng.standard_normal((1000, dim))
+    y = 0.9 * x + np.sqrt(0.19) * embeddings.unit(z - (z * x).sum(1, keepdims=True) * x)
+    met = [len(np.intersect1d(p, q)) > 0 for p, q in zip(code.decode(x), code.decode(y))]
+    assert np.mean(met) >= 0.998
+
+
 def test_embedding_blocks(spark, monkeypatch):
     rng = np.random.default_rng(6)
     base = rng.standard_normal(24)
