@@ -169,7 +169,7 @@ def rare_first(grams: np.ndarray, known: np.ndarray, counts: np.ndarray, length:
 
 
 def prefixes(docs: DataFrame, known: np.ndarray, counts: np.ndarray, n: int, percent: int) -> DataFrame:
-    """gram, class, and at: size << 36 | place << 8 | salt."""
+    """gram, class, and at: size << 36 | place << 8 | salt; the salt is above 0 for the grams that are dealt to several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -180,8 +180,8 @@ def prefixes(docs: DataFrame, known: np.ndarray, counts: np.ndarray, n: int, per
                     continue
                 seen.add(c)
                 first, often = rare_first(g, known, counts, prefix_length(len(g), percent))
-                salts = np.minimum(often // HOT, 255)
-                salts = np.where(salts > 0, c % (salts + 1), 0)
+                shares = np.minimum(often // HOT + 1, 255)
+                salts = np.where(shares > 1, 1 + c % shares, 0)
                 grams.append(first)
                 classes.append(np.full(len(first), c, np.int64))
                 ats.append(len(g) << 36 | np.arange(len(first), dtype=np.int64) << 8 | salts)
@@ -198,7 +198,7 @@ def fits(size_a, left_a, size_b, left_b, percent: int):
 
 
 def meetings(entries: DataFrame, percent: int) -> DataFrame:
-    """Of the entries, those whose gram more than one class has; with the class before and the first class at the gram where the filters let them through."""
+    """Of the entries, those whose gram more than one class has, and all of the grams dealt to several tasks, as the other classes may be in another one; with the class before and the first class at the gram where the filters let them through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before (gram, class, at), whether it has been given out, and its gram's first (class, at)
@@ -218,7 +218,7 @@ def meetings(entries: DataFrame, percent: int) -> DataFrame:
                 pivot_c, pivot_a = np.where(same, last[2][0], pivot_c), np.where(same, last[2][1], pivot_a)
             more = np.zeros(len(g), bool)
             more[:-1] = ~new[1:]
-            several = ~new | more
+            several = ~new | more | (a & 255 > 0)
             if last is not None and last[1]:
                 several[0] = True  # its gram has more than one class, as is known
             given = last is not None and last[1]

@@ -177,6 +177,26 @@ def test_cross_pairs_in_blocks(spark, monkeypatch):
     assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 4 != b % 4}
 
 
+def test_hot_grams_meet_across_tasks(spark, monkeypatch):
+    """Short texts that are almost only a passage which longer texts have too: all they share are grams dealt to several tasks."""
+    monkeypatch.setattr(jaccard, "HOT", 1)
+    fixed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in fixed}
+    texts = []
+    for p in range(6):
+        passage = prose(200 + p, 30)
+        texts += [(1000 * p + k, f"{passage} end{k}") for k in range(2)]
+        texts += [(1000 * p + 10 + k, passage + " " + " ".join(f"w{p}x{k}x{i}" for i in range(200))) for k in range(40)]
+    try:
+        for k, v in fixed.items():
+            spark.conf.set(k, v)
+        rows = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == {i: i - 1 if i % 1000 == 1 else i for i, _ in texts}
+
+
 def test_suffix_array_dedup(spark, docs):
     data = {i: (t or "").encode() for i, t in TEXTS}
     often = collections.Counter(x[k : k + 400] for x in data.values() for k in range(len(x) - 399))
