@@ -24,8 +24,10 @@ from .common import small_batches
 
 #: Labelled rows learned from, at most: those with the least hash of their key. Entries of the lexicon, at most.
 FIT_ROWS, LEXICON = 20_000, 1000
-#: A term must be in this share of the toxic texts and in so many at least; texts that aren't toxic may have it so often for each toxic one; stems have so many letters and endings.
+#: A term must be in this share of the families of toxic texts and in so many of them at least; texts that aren't toxic may have it so often for each toxic one; stems have so many letters and endings.
 SHARE, LEAST, STRAY, STEMS, ENDINGS = 0.02, 4, 0.02, (4, 7), 3
+#: Texts whose word sets are at least so similar are near copies, one family; similarity is the share of equal least hashes among so many, looked at where a band of so many is equal.
+ALIKE, HASHES, BAND = 0.7, 128, 4
 #: Words over which a negation and a target reach.
 REACH_NOT, REACH_AIM = 3, 4
 SCORE_AT = 0.3
@@ -171,17 +173,63 @@ def words_of(text: str | None) -> set[str]:
     return {w for w in TOKEN.findall((text or "").lower()) if len(w) > 2}
 
 
+def turns() -> np.ndarray:
+    return np.random.default_rng(HASHES).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(words: set[str], odd: np.ndarray) -> np.ndarray:
+    """The least of each hash over the words."""
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    x = h[:, None] * odd
+    x = (x ^ (x >> np.uint64(32))) * odd[::-1]
+    return (x ^ (x >> np.uint64(29))).min(0) if len(h) else np.zeros(HASHES, np.uint64)
+
+
+def families(sketches: np.ndarray) -> np.ndarray:
+    """The family of each text, by its first one: near copies, and what is linked by near copies."""
+    root = list(range(len(sketches)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for at in range(0, HASHES, BAND):
+        met: dict[bytes, list[int]] = {}
+        for i, x in enumerate(sketches):
+            apart = met.setdefault(x[at : at + BAND].tobytes(), [])
+            near = [apart[k] for k in np.nonzero((sketches[apart] == x).mean(1) >= ALIKE)[0]] if apart else []
+            for j in near:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+            if not near:
+                apart.append(i)
+    return np.array([find(i) for i in range(len(root))], np.int64)
+
+
 def learn_lexicon(sample: DataFrame) -> Lexicon:
-    """sample: text, toxic (1 or 0). Near copies count once for a word: texts with the same least hash of a word are one family."""
+    """sample: text, toxic (1 or 0). Near copies count once, for a word and for the share it must reach."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odd = turns()
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            keys = [xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(1), pa.array([sketch(words_of(t), odd).tobytes() for t in texts], pa.binary())], ["key", "toxic", "sketch"])
+
+    drawn = sample.select("text", F.col("toxic").cast("long")).mapInArrow(draw, "key long, toxic long, sketch binary").orderBy("key", "toxic").collect()  # FIT_ROWS at most
+    of_row = families(np.frombuffer(b"".join(r["sketch"] for r in drawn), np.uint64).reshape(-1, HASHES))
+    family_of = {r["key"]: int(f) for r, f in zip(drawn, of_row)}
+    n = len({int(f) for r, f in zip(drawn, of_row) if r["toxic"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = list(words_of(text))
-                family = min(map(xxhash.xxh3_64_intdigest, words), default=0) >> 1
+                family = family_of[xxhash.xxh3_64_intdigest(text or "") >> 1]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int64()), pa.array([family] * len(words), pa.int64())], ["word", "toxic", "family"])
 
-    n = sample.agg(F.sum("toxic")).first()[0] or 0
     least = max(LEAST, SHARE * n)
     words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "word string, toxic long, family long").groupBy("word", "family").agg(F.max("toxic").alias("bad"), (1 - F.min("toxic")).alias("good")).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     some = words.withColumn("stem", F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda k: F.when(k <= F.length("word"), F.substring("word", F.lit(1), k))))).where("stem is not null")

@@ -377,6 +377,22 @@ def test_toxicity_grammar():
     assert model.score(counts)[0] > model.score(counts)[1] > model.score(counts)[2]
 
 
+def test_near_copies_count_once_in_the_lexicon(spark):
+    clean = [(prose(400 + k, 40), 0) for k in range(20)]
+    copies = [(prose(399, 60) + f" copy{k}", 1) for k in range(400)]
+    own = [(" ".join(f"w{chr(97 + k)}{chr(97 + i)}q" for i in range(20)) + (" blorgel" if k < 6 else ""), 1) for k in range(26)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame([*clean, *copies, *own], "text string, toxic int"))
+    assert lexicon.of_word("blorgel") == toxicity.INSULT  # 6 of 27 families, though 2% of the rows are 8
+    assert not any(lexicon.of_word(f"copy{k}") == toxicity.INSULT for k in range(400))
+
+
+def test_unlike_texts_with_one_least_hash_are_apart(spark):
+    least = min((f"x{chr(97 + i)}{chr(97 + j)}{chr(97 + k)}" for i in range(26) for j in range(26) for k in range(26)), key=toxicity.xxhash.xxh3_64_intdigest)
+    toxic = [(least + " blorgel " + " ".join(f"w{chr(97 + k)}{chr(97 + i)}q" for i in range(20)), 1) for k in range(12)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame([*toxic, *((prose(400 + k, 40), 0) for k in range(20))], "text string, toxic int"))
+    assert lexicon.of_word("blorgel") == toxicity.INSULT
+
+
 def test_toxicity_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     d, l = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
