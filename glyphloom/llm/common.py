@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than blanks and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a run within one machine gets a folder of its own; a cluster has to name one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="glyphloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -49,3 +56,62 @@ def release(*tables: DataFrame) -> None:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small, whatever their lengths."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: What a worker keeps from one partition to the next: one thing, by its maker and arguments.
+HELD: dict[tuple, object] = {}
+
+
+def kept(make: Callable, *args):
+    """make(*args), kept in the worker until another thing is, or an operator runs that needs none."""
+    if (make, args) not in HELD:
+        HELD.clear()
+        HELD[make, args] = make(*args)
+    return HELD[make, args]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, which keeps nothing in the worker: memory goes back to the machine when its partition ends, as workers serve many operators one after another."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        HELD.clear()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Tables of whole groups, from rows sorted by keys (whole numbers)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        other = False
+        for k in keys:
+            column = b.column(k).to_numpy()
+            other = other | (column != column[-1])
+        if other.any():
+            end = int(other.nonzero()[0][-1]) + 1
+            yield pa.Table.from_batches([*held, b.slice(0, end)])
+            held = [b.slice(end)]
+        else:
+            if held and any(held[-1].column(k)[-1] != b.column(k)[-1] for k in keys):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def schema_of(df: DataFrame, *columns: str, **more: T.DataType) -> T.StructType:
+    """Columns of df, whatever their names, and more."""
+    return T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in columns), *(T.StructField(c, t) for c, t in more.items())])

@@ -4,7 +4,7 @@ A document's set is its distinct word n-grams, as 64-bit hashes. Equal sets are
 
 Sets that meet at a gram are candidates if their sizes (length filter) and what is left behind the gram (positional filter) allow the overlap. Candidates are cut down by how many grams each set has in SLOTS slots of the hash, which bounds the overlap (suffix filter), and verified once a pair on the sets themselves.
 
-Only components are wanted, so a group of m near copies isn't expanded to its pairs. First each set is compared with the one before it and the first one at each gram, in order of size; then only sets of different components so far are paired, at grams where such meet. Grams with many sets are dealt out in blocks.
+Only components are wanted, so a group of m near copies isn't expanded to its pairs. First each set is compared with the one before it and the first one at each gram, in order of size. Then sets of different components so far are looked at, at the grams where such meet, in blocks: what leaves a block are the entries that the filters let through to another, then as many candidate pairs as join them. Candidates joined in this way are a cluster; a cluster's sets meet in blocks, each once, and what leaves a block are as many links as join components. So pairs are made and judged within tasks, and none but such links leave them.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer words than n has one gram, all its words; equal rows are one class; the threshold is exact, 100 * intersection >= percent * union in whole numbers.
 """
@@ -20,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import BACK, LETTERS, ODD, powers
-from .common import release, settle, small_batches
+from .common import lean, release, settle, small_batches, whole_groups
 from .components import components
 
 N, PERCENT = 5, 75
 #: Frequent grams known to every task, at most; grams are counted exactly within runs of so many, and reported from so many on.
 FREQUENT, COUNT_RUN, REPORT = 1 << 19, 1 << 21, 3
-#: Sets of one gram that meet in one task when all are paired; slots of the suffix filter.
-BLOCK, SLOTS = 2048, 256
+#: Sets of one gram in a block, and grams of a block of sets, two of which meet in a task; slots of the suffix filter.
+BLOCK, GRAMS, SLOTS = 2048, 1 << 20, 256
+#: Groups of so many entries are looked through together.
+FEW = 64
 #: A gram counted more often than this is dealt to several tasks.
 HOT = 4096
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -133,7 +135,7 @@ def classes_and_counts(docs: DataFrame, n: int) -> DataFrame:
                 held, total = [], 0
         yield report()
 
-    return docs.mapInArrow(run, "kind int, id long, class long, size long, slots binary")
+    return docs.mapInArrow(lean(run), "kind int, id long, class long, size long, slots binary")
 
 
 def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +190,7 @@ def prefixes(docs: DataFrame, known: np.ndarray, counts: np.ndarray, n: int, per
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(grams))), pa.array(np.concatenate(classes)), pa.array(np.concatenate(ats))], ["gram", "class", "at"])
 
-    return docs.mapInArrow(run, "gram long, class long, at long")
+    return docs.mapInArrow(lean(run), "gram long, class long, at long")
 
 
 def fits(size_a, left_a, size_b, left_b, percent: int):
@@ -240,62 +242,168 @@ def meetings(entries: DataFrame, percent: int) -> DataFrame:
                 last = ((g[i], c[i], a[i]), bool(several[i]), (pivot_c[i], pivot_a[i]))
 
     dealt = entries.repartition("gram", F.col("at").bitwiseAND(F.lit(255))).sortWithinPartitions("gram", F.shiftright("at", 36), "class")
-    return dealt.mapInArrow(run, "gram long, class long, at long, before long, pivot long")
+    return dealt.mapInArrow(lean(run), "gram long, class long, at long, before long, pivot long")
 
 
-def cross_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet at a gram and pass the filters, once in a task. entries: gram, class, at, component."""
-    sizes = entries.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low <> high")
-    own = entries.join(sizes.select("gram", "blocks"), "gram").withColumn("own", F.pmod("class", F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("gram", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "class", "at", "component")
+def dealt_out(rows: DataFrame, group: str, weight, most: int, *what: str) -> DataFrame:
+    """The rows of each group in blocks, so that rows of different components meet in a task, and no group whole. rows: group, class, component and what.
+
+    Rows of a group's largest component are its main ones, the others the rest; only the rest has to meet everything. Blocks of the rest are numbered first, and each task (a, b) gets two blocks, the first of the rest. So main rows are copied once for each block of the rest, and a group of one component is left out. weight: what a row counts against `most` in a block.
+    """
+    per = rows.groupBy(group, "component").agg(F.sum(weight).alias("n"))
+    of = per.groupBy(group).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    parts = lambda n: F.ceil(n / most).cast("int")
+    of = of.select(group, F.col("top.component").alias("main"), parts(F.col("n") - F.col("top.n")).alias("q"), parts(F.col("top.n")).alias("p"))
+    is_main = F.col("component") == F.col("main")
+    own = F.when(is_main, F.col("q") + F.pmod("class", F.col("p"))).otherwise(F.pmod("class", F.col("q"))).cast("int")
+    meets = F.when(is_main, F.col("q") - 1).otherwise(F.col("q") + F.col("p") - 1)
+    placed = rows.join(of, group).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), meets)))
+    keys = [group, "a", "b"]
+    return in_tasks(placed.select(group, F.least("own", "other").cast("long").alias("a"), F.greatest("own", "other").cast("long").alias("b"), F.col("own").cast("long").alias("own"), "class", "component", *what), *keys)
+
+
+def in_tasks(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def met_across(dealt: DataFrame, percent: int) -> DataFrame:
+    """Of the entries dealt out, those that the length and positional filters let through to an entry of another component."""
+    names = ["gram", "a", "b", "own", "class", "component", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, *names[:3]):
+            g, a, b, own, c, of, at = (t.column(n).to_numpy() for n in names)
+            size = at >> 36
+            left = size - (at >> 8 & ((1 << 28) - 1))
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            start = np.nonzero(new)[0]
+            group = np.cumsum(new)
+            count = np.diff(np.append(start, len(g)))
+            through = np.zeros(len(g), bool)
+
+            def look(i: np.ndarray, j: np.ndarray) -> None:
+                ok = (of[i] != of[j]) & ((a[i] == b[i]) | (own[i] != own[j])) & fits(size[i], left[i], size[j], left[j], percent)
+                through[i[ok]] = True
+                through[j[ok]] = True
+
+            few = np.nonzero(np.repeat(count <= FEW, count))[0]
+            for d in range(1, int(count[count <= FEW].max(initial=1))):  # all small groups at once, by distance
+                i = few[: len(few) - d]
+                j = few[d:]
+                same = group[i] == group[j]
+                look(i[same], j[same])
+            for k in np.nonzero(count > FEW)[0].tolist():
+                rows = np.arange(start[k], start[k] + count[k])
+                for i in rows if a[rows[0]] == b[rows[0]] else rows[own[rows] == a[rows[0]]]:
+                    look(np.full(len(rows), i), rows)
+            if through.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[through]) for x in (g, a, b, own, c, of, at)], names)
+
+    return dealt.select(*names).mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
+
+
+class Forest:
+    """Labels that are merged, how many are left, and which pairs merged them."""
+
+    def __init__(self, labels: np.ndarray):
+        unlike, self.labels = np.unique(labels, return_inverse=True)
+        self.left = len(unlike)
+        self.pairs: list[tuple[int, int]] = []
+
+    def apart(self, i: int, among: np.ndarray) -> np.ndarray:
+        return among[self.labels[among] != self.labels[i]]
+
+    def link(self, i: int, found: np.ndarray) -> None:
+        """found: some of those apart from i."""
+        if len(found):
+            old, at = np.unique(self.labels[found], return_index=True)
+            self.pairs += [(i, j) for j in found[at].tolist()]
+            self.labels[np.isin(self.labels, old)] = self.labels[i]
+            self.left -= len(old)
+
+
+def edges_of(pairs: list[tuple[int, int]], classes: np.ndarray) -> pa.RecordBatch:
+    both = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(classes[both[:, 0]]), pa.array(classes[both[:, 1]])], ["a", "b"])
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Suffix filter: pairs a, b of entries whose slots allow the overlap too, no more than join them. rows: the result of met_across() with slots, in tasks."""
+    names = ["gram", "a", "b", "own", "class", "component", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        found: list[np.ndarray] = []
-        count = 0
-
-        def pairs(x: np.ndarray) -> None:
-            """x: rows gram, a, b, own, class, at, component of whole groups."""
-            nonlocal count
-            ends = np.nonzero((np.diff(x[:, :3], axis=0) != 0).any(1))[0] + 1
-            for lo, hi in zip([0, *ends], [*ends, len(x)]):
-                y = x[lo:hi]
-                size = y[:, 5] >> 36
-                left = size - (y[:, 5] >> 8 & ((1 << 28) - 1))
-                apart = y[0, 1] != y[0, 2]
-                rows = np.nonzero(y[:, 3] == y[0, 1])[0] if apart else np.arange(len(y))
-                for i in rows:
-                    j = np.nonzero(y[:, 3] == y[0, 2])[0] if apart else np.arange(i + 1, len(y))
-                    j = j[(y[j, 6] != y[i, 6]) & fits(size[i], left[i], size[j], left[j], percent)]
+        for t in whole_groups(batches, *names[:3]):
+            g, a, b, own, c, of, at = (t.column(n).to_numpy() for n in names)
+            part = np.frombuffer(b"".join(t.column("slots").to_pylist()), np.uint8).reshape(len(g), SLOTS)
+            size = at >> 36
+            left = size - (at >> 8 & ((1 << 28) - 1))
+            new = np.ones(len(g), bool)
+            new[1:] = (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            found: list[tuple[int, int]] = []
+            start = np.nonzero(new)[0].tolist()
+            for lo, hi in zip(start, [*start[1:], len(g)]):
+                apart = a[lo] != b[lo]
+                rows = np.arange(lo, hi)
+                others = rows[own[rows] == b[lo]] if apart else rows
+                forest = Forest(np.arange(hi - lo))
+                for i in rows[own[rows] == a[lo]] if apart else rows:
+                    if forest.left == 1:
+                        break
+                    j = forest.apart(i - lo, others - lo) + lo
+                    j = j[of[j] != of[i]]
+                    j = j[fits(size[i], left[i], size[j], left[j], percent)]
                     if len(j):
-                        one, two = np.full(len(j), y[i, 4]), y[j, 4]
-                        found.append(np.column_stack([np.minimum(one, two), np.maximum(one, two)]))
-                        count += len(j)
+                        most = np.minimum(part[j], part[i]).sum(1, dtype=np.int64)
+                        full = ((part[j] == 255) & (part[i] == 255)).any(1)
+                        forest.link(i - lo, j[full | (most >= needed(size[i], size[j], percent))] - lo)
+                found += [(x + lo, y + lo) for x, y in forest.pairs]
+            if found:
+                yield edges_of(found, c)
 
-        def give() -> pa.RecordBatch:
-            nonlocal count
-            both = np.unique(np.concatenate(found), axis=0)
-            found.clear()
-            count = 0
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+    return rows.mapInArrow(lean(run), "a long, b long")
 
-        for b in batches:
-            held.append(np.column_stack([b.column(i).to_numpy() for i in range(7)]))
-            x = np.concatenate(held) if len(held) > 1 else held[0]
-            new = np.nonzero((x[:, :3] != x[-1, :3]).any(1))[0]
-            end = int(new[-1]) + 1 if len(new) else 0
-            if end:
-                pairs(x[:end])
-            held = [x[end:]]
-            if count > 1_000_000:
-                yield give()
-        if held and len(held[0]):
-            pairs(held[0])
-        if found:
-            yield give()
 
-    keys = ["gram", "a", "b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).select(*keys, F.col("own").cast("long"), "class", "at", "component").mapInArrow(run, "a long, b long").distinct()
+def links_in_clusters(dealt: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b of classes whose sets reach the threshold, no more than join the components that they join. dealt: cluster, a, b, own, class, component, grams, in tasks.
+
+    A class is compared with all others of its two blocks at once, through the list of classes of each gram; classes of the commonest component are compared from the other side alone.
+    """
+    names = ["cluster", "a", "b", "own", "class", "component"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, *names[:3]):
+            cluster, a, b, own, c, of = (t.column(n).to_numpy() for n in names)
+            new = np.ones(len(c), bool)
+            new[1:] = (cluster[1:] != cluster[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            start = np.nonzero(new)[0].tolist()
+            found: list[tuple[int, int]] = []
+            for lo, hi in zip(start, [*start[1:], len(c)]):
+                sets = [np.frombuffer(x, np.uint64) for x in t.column("grams").slice(lo, hi - lo).to_pylist()]
+                sizes = np.array([len(x) for x in sets])
+                grams, at = np.unique(np.concatenate(sets), return_inverse=True)
+                owner = np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(at, kind="stable")
+                having = owner[order]
+                edge = np.searchsorted(at[order], np.arange(len(grams) + 1))
+                begin = np.cumsum(sizes) - sizes
+                forest = Forest(of[lo:hi])
+                commonest = np.bincount(forest.labels).argmax()
+                mine = own[lo:hi]
+                for i in np.nonzero(mine == a[lo] if a[lo] != b[lo] else forest.labels != commonest)[0].tolist():
+                    if forest.left == 1:
+                        break
+                    own_grams = at[begin[i] : begin[i] + sizes[i]]
+                    n = edge[own_grams + 1] - edge[own_grams]
+                    places = np.repeat(edge[own_grams] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    shared = np.bincount(having[places], minlength=len(sets))
+                    j = forest.apart(i, np.nonzero(100 * shared >= percent * (sizes + sizes[i] - shared))[0])
+                    forest.link(i, j)
+                found += [(x + lo, y + lo) for x, y in forest.pairs]
+            if found:
+                yield edges_of(found, c)
+
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def slots(grams: np.ndarray) -> bytes:
@@ -311,7 +419,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
             sets = list(gram_sets(b.column(1).to_pylist(), n))
             yield pa.RecordBatch.from_arrays([pa.array([class_of(g) for g in sets], pa.int64()), pa.array([g.tobytes() for g in sets], pa.binary())], ["class", "grams"])
 
-    return docs.mapInArrow(run, "class long, grams binary")
+    return docs.mapInArrow(lean(run), "class long, grams binary")
 
 
 def attach(pairs: DataFrame, of: DataFrame, *what: str) -> DataFrame:
@@ -328,7 +436,7 @@ def kept_pairs(rows: DataFrame, test) -> DataFrame:
             mask = test(*(c.to_pylist() for c in b.columns[2:])) if b.num_rows else []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -361,7 +469,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id of every row.
 
-    Sets are made of candidates alone, twice: of the pairs along each gram, and of the pairs between the components that those give.
+    Sets are made of candidates alone, twice: of the pairs along each gram, and of the clusters of candidates between the components that those give.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
@@ -374,32 +482,35 @@ def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT, key:
     met = settle(meetings(prefixes(texts, known, counts, n, percent), percent))
     release()
     pairs = lambda c: met.where(f"{c} is not null").select(F.least("class", c).alias("a"), F.greatest("class", c).alias("b"))
-    def sets_for(chosen: DataFrame, but: DataFrame | None = None) -> DataFrame:
-        """Sets of the classes in pairs, besides those there are."""
-        classes = chosen.select(F.col("a").alias("class")).union(chosen.select("b")).distinct()
-        if but is not None:
-            classes = classes.join(but.select("class"), "class", "left_anti")
+
+    def sets_for(classes: DataFrame) -> DataFrame:
         ids = classes.join(reps, "class").select(F.col("rep").alias("id"))
         small_batches(spark)
         return settle(sets_of(texts.join(ids.hint("merge"), "id", "left_semi"), n))  # one way at every size
 
     near = settle(bounded(pairs("before").union(pairs("pivot")).distinct(), reps, percent))
-    sets = sets_for(near)
+    sets = sets_for(near.select(F.col("a").alias("class")).union(near.select("b")).distinct())
     release()
     links = settle(verified(near, sets, percent))
+    release(near, sets)
     of = settle(components(links))
-    entries = met.select("gram", "class", "at").join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component_id", "class")).drop("component_id")
-    between = settle(bounded(cross_pairs(entries, percent).join(near, ["a", "b"], "left_anti"), reps, percent))
+    with_component = lambda x: x.join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component_id", "class")).drop("component_id")
+    through = settle(met_across(dealt_out(with_component(met.select("gram", "class", "at")), "gram", F.lit(1), BLOCK, "at"), percent))
     release(met)
-    if not between.isEmpty():
-        sets = sets.union(sets_for(between, sets))
-        release()
-        more = settle(verified(between, sets, percent))
+    keys = ["gram", "a", "b"]
+    maybe = settle(candidates(in_tasks(through.join(reps.select("class", "slots"), "class").select(*keys, "own", "class", "component", "at", "slots"), *keys), percent))
+    release(through)
+    if not maybe.isEmpty():
+        clusters = settle(with_component(components(maybe).select(F.col("id").alias("class"), F.col("component_id").alias("cluster"))))
+        sets = sets_for(clusters.select("class"))
+        sized = clusters.join(sets, "class").withColumn("weight", F.greatest(F.octet_length("grams") / 8, F.lit(GRAMS // 4096)))
+        more = settle(links_in_clusters(dealt_out(sized, "cluster", F.col("weight"), GRAMS, "grams"), percent))
+        release(clusters, sets)
         if not more.isEmpty():
             of = settle(components(links.union(more)))
 
     joined = reps.select("class", "rep").join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component_id", F.coalesce("component_id", "class"))
     least = joined.groupBy("component_id").agg(F.min("rep").alias("least"))
     known_of = settle(joined.join(least, "component_id").select("class", "least"))
-    release(reps, near, between, links)
+    release(reps, maybe, links)
     return rows.join(known_of, "class", "left").select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))

@@ -169,12 +169,52 @@ def test_jaccard(spark, docs):
     assert jaccard.similar_documents(empty(spark, docs)).count() == 0
 
 
-def test_cross_pairs_in_blocks(spark, monkeypatch):
-    """Grams with many sets, dealt in blocks: every pair of different components comes out."""
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
-    rows = [(1, c, 10 << 36, c % 4) for c in range(20)]
-    got = {(r["a"], r["b"]) for r in jaccard.cross_pairs(spark.createDataFrame(rows, "gram long, class long, at long, component long"), 75).collect()}
-    assert got == {(a, b) for a in range(20) for b in range(a + 1, 20) if a % 4 != b % 4}
+def test_jaccard_in_blocks(spark, monkeypatch):
+    """A group of near copies with pairs of outliers that are alike only to one another, dealt in many small blocks, with and without small groups looked through together."""
+    rng = np.random.default_rng(6)
+    base, near = prose(21, 120).split(), []
+    for k in range(90):
+        w = list(base)
+        own = k if k % 6 else k - k % 12  # every second pair of outliers shares its changes
+        for at in np.random.default_rng(own).integers(0, len(w), 1 + k % 4 if k % 6 else 14):
+            w[at] = f"x{own}"
+        if not k % 6:
+            w[int(rng.integers(0, len(w)))] = f"y{k}"
+        near.append((k, " ".join(w)))
+    want = components_by_hand(sets_by_hand(near))
+    assert 1 < len(set(want.values())) < 40
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    for block, grams in ((7, 600), (2048, 1 << 20)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "GRAMS", grams)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df).collect()} == want
+
+
+def test_clusters_in_blocks(spark):
+    """Sets of one cluster dealt in blocks: the links that come out join what brute force joins, and are no more than that takes."""
+    rng = np.random.default_rng(8)
+    sets = {c: np.unique(np.concatenate([np.arange(40, dtype=np.uint64), rng.integers(100, 140, 12).astype(np.uint64)])) for c in range(60)}
+    rows = [(0, c, c % 5, 1.0, sets[c].tobytes()) for c in sets]
+    df = spark.createDataFrame(rows, "cluster long, class long, component long, weight double, grams binary")
+    got = [(r["a"], r["b"]) for r in jaccard.links_in_clusters(jaccard.dealt_out(df, "cluster", F.col("weight"), 6, "grams"), 75).collect()]
+    alike = {(a, b) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert {tuple(sorted(p)) for p in got} <= alike and len(got) < 600
+    joined = lambda pairs: joined_by_hand(range(60), [*pairs, *((c, c % 5) for c in sets)])
+    assert joined(got) == joined(alike)
+
+
+def joined_by_hand(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
 
 
 def test_hot_grams_meet_across_tasks(spark, monkeypatch):
