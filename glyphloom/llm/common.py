@@ -10,7 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A word is a run of characters other than blanks and the controls 9 to 13.
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """The column of that very name, whatever blanks, dots or quotes it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a run within one machine gets a folder of its own; a cluster has to name one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -58,6 +64,8 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Called when an operator's partition ends, to empty its modules' caches.
+FORGET: list[Callable[[], None]] = []
 #: What a worker keeps from one partition to the next: one thing, by its maker and arguments.
 HELD: dict[tuple, object] = {}
 
@@ -77,6 +85,8 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         HELD.clear()
         yield from run(batches)
+        for forget in FORGET:
+            forget()
         give_back()
 
     return wrapped

@@ -4,7 +4,7 @@ A document's set is its distinct word n-grams, as 64-bit hashes. Equal sets are
 
 Sets that meet at a gram are candidates if their sizes (length filter) and what is left behind the gram (positional filter) allow the overlap. Candidates are cut down by how many grams each set has in SLOTS slots of the hash, which bounds the overlap (suffix filter), and verified once a pair on the sets themselves.
 
-Only components are wanted, so a group of m near copies isn't expanded to its pairs. First each set is compared with the one before it and the first one at each gram, in order of size. Then sets of different components so far are looked at, at the grams where such meet, in blocks: what leaves a block are the entries that the filters let through to another, then as many candidate pairs as join them. Candidates joined in this way are a cluster; a cluster's sets meet in blocks, each once, and what leaves a block are as many links as join components. So pairs are made and judged within tasks, and none but such links leave them.
+Only components are wanted, so a group of m near copies isn't expanded to its pairs. First each set is compared with the one before it and the first one at each gram, in order of size. Then sets of different components so far are looked at, at the grams where such meet, in blocks: what leaves a block are the entries that the filters let through to another, then its candidate pairs, if they are no more than DENSE for each entry; these are verified pair by pair. Of a block with more, no more leave than join its entries. What is joined in this way is a cluster; a cluster's sets meet in blocks, each once, all its pairs are judged there, and what leaves a block are as many links as join components. So rows of pairs grow with the entries, never with the square of a group.
 
 Defined results: null, empty and blank texts have an empty set and link with nothing; a text of fewer words than n has one gram, all its words; equal rows are one class; the threshold is exact, 100 * intersection >= percent * union in whole numbers.
 """
@@ -28,8 +28,8 @@ N, PERCENT = 5, 75
 FREQUENT, COUNT_RUN, REPORT = 1 << 19, 1 << 21, 3
 #: Sets of one gram in a block, and grams of a block of sets, two of which meet in a task; slots of the suffix filter.
 BLOCK, GRAMS, SLOTS = 2048, 1 << 20, 256
-#: Groups of so many entries are looked through together.
-FEW = 64
+#: Groups of so many entries are looked through together; blocks with more candidate pairs than this for each entry are dense.
+FEW, DENSE = 64, 8
 #: A gram counted more often than this is dealt to several tasks.
 HOT = 4096
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -329,7 +329,10 @@ def edges_of(pairs: list[tuple[int, int]], classes: np.ndarray) -> pa.RecordBatc
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter: pairs a, b of entries whose slots allow the overlap too, no more than join them. rows: the result of met_across() with slots, in tasks."""
+    """Suffix filter: pairs a, b of entries whose slots allow the overlap too, and whether their block is dense. rows: the result of met_across() with slots, in tasks.
+
+    A block with more than DENSE such pairs for each of its entries is dense; of it, no more pairs are given than join its entries. Of the others all are.
+    """
     names = ["gram", "a", "b", "own", "class", "component", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,27 +344,38 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
             new = np.ones(len(g), bool)
             new[1:] = (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             found: list[tuple[int, int]] = []
+            dense: list[bool] = []
             start = np.nonzero(new)[0].tolist()
             for lo, hi in zip(start, [*start[1:], len(g)]):
                 apart = a[lo] != b[lo]
                 rows = np.arange(lo, hi)
                 others = rows[own[rows] == b[lo]] if apart else rows
+                pairs: list[tuple[int, int]] = []
                 forest = Forest(np.arange(hi - lo))
-                for i in rows[own[rows] == a[lo]] if apart else rows:
-                    if forest.left == 1:
-                        break
-                    j = forest.apart(i - lo, others - lo) + lo
+                for i in (rows[own[rows] == a[lo]] if apart else rows).tolist():
+                    j = others if apart else others[i - lo + 1 :]
+                    if many := len(pairs) > DENSE * (hi - lo):
+                        if forest.left == 1:
+                            break
+                        j = forest.apart(i - lo, j - lo) + lo
                     j = j[of[j] != of[i]]
                     j = j[fits(size[i], left[i], size[j], left[j], percent)]
-                    if len(j):
-                        most = np.minimum(part[j], part[i]).sum(1, dtype=np.int64)
-                        full = ((part[j] == 255) & (part[i] == 255)).any(1)
-                        forest.link(i - lo, j[full | (most >= needed(size[i], size[j], percent))] - lo)
-                found += [(x + lo, y + lo) for x, y in forest.pairs]
+                    if not len(j):
+                        continue
+                    most = np.minimum(part[j], part[i]).sum(1, dtype=np.int64)
+                    full = ((part[j] == 255) & (part[i] == 255)).any(1)
+                    j = j[full | (most >= needed(size[i], size[j], percent))]
+                    if not many:
+                        pairs += [(i, x) for x in j.tolist()]
+                    forest.link(i - lo, forest.apart(i - lo, j - lo))
+                many = len(pairs) > DENSE * (hi - lo)
+                found += [(x + lo, y + lo) for x, y in forest.pairs] if many else pairs
+                dense += [many] * (len(found) - len(dense))
             if found:
-                yield edges_of(found, c)
+                both = edges_of(found, c)
+                yield pa.RecordBatch.from_arrays([*both.columns, pa.array(dense, pa.bool_())], ["a", "b", "dense"])
 
-    return rows.mapInArrow(lean(run), "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long, dense boolean")
 
 
 def links_in_clusters(dealt: DataFrame, percent: int) -> DataFrame:
@@ -500,17 +514,24 @@ def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT, key:
     keys = ["gram", "a", "b"]
     maybe = settle(candidates(in_tasks(through.join(reps.select("class", "slots"), "class").select(*keys, "own", "class", "component", "at", "slots"), *keys), percent))
     release(through)
+    ordered = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense")
     if not maybe.isEmpty():
-        clusters = settle(with_component(components(maybe).select(F.col("id").alias("class"), F.col("component_id").alias("cluster"))))
+        few = settle(ordered.where("not dense").select("a", "b").distinct())
+        sets = sets_for(few.select(F.col("a").alias("class")).union(few.select("b")).distinct())
+        links = settle(links.union(verified(few, sets, percent)))
+        release(few, sets)
+        of = settle(components(links))
+    many = settle(ordered.where("dense").select("a", "b").distinct())
+    if not many.isEmpty():
+        clusters = settle(with_component(components(many).select(F.col("id").alias("class"), F.col("component_id").alias("cluster"))))
         sets = sets_for(clusters.select("class"))
-        sized = clusters.join(sets, "class").withColumn("weight", F.greatest(F.octet_length("grams") / 8, F.lit(GRAMS // 4096)))
-        more = settle(links_in_clusters(dealt_out(sized, "cluster", F.col("weight"), GRAMS, "grams"), percent))
+        weighed = clusters.join(sets, "class").withColumn("weight", F.greatest(F.octet_length("grams") / 8, F.lit(GRAMS // 4096)))
+        links = settle(links.union(links_in_clusters(dealt_out(weighed, "cluster", F.col("weight"), GRAMS, "grams"), percent)))
         release(clusters, sets)
-        if not more.isEmpty():
-            of = settle(components(links.union(more)))
+        of = settle(components(links))
 
     joined = reps.select("class", "rep").join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component_id", F.coalesce("component_id", "class"))
     least = joined.groupBy("component_id").agg(F.min("rep").alias("least"))
     known_of = settle(joined.join(least, "component_id").select("class", "least"))
-    release(reps, maybe, links)
+    release(reps, maybe, many, links)
     return rows.join(known_of, "class", "left").select(F.col("id").alias(key), F.col("size").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
