@@ -9,6 +9,8 @@ import functools
 
 import numpy as np
 
+from .common import FORGET
+
 WINDOW, GRAM = 400, 128
 #: Bits for a place in a buffer; buffers hold fewer bytes. Longer strings are cut into buffers that overlap by WINDOW - 1.
 PLACE = 22
@@ -24,6 +26,9 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
 
 
+FORGET.append(powers.cache_clear)
+
+
 def gram_hashes(buffer: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on: differences of prefix sums of a polynomial, shifted back."""
     n = len(buffer) - GRAM + 1

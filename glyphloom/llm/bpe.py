@@ -7,7 +7,6 @@ Defined results: a null text counts as empty; an empty text has no ids and decod
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -18,9 +17,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import col, give_back, kept, schema_of, small_batches
 
 #: From so many parts on, a heap replaces the scan.
 SHORT = 200
@@ -165,34 +164,31 @@ class WordBpe:
         return ids.count(b" ") + bool(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
-@functools.lru_cache(2)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids (array<int>) and decoded (string) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path)
+        bpe = kept(WordBpe, path)
         for b in batches:
             ids = [bpe.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["k", "ids", "decoded"])
+        give_back()
 
     small_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>, decoded string").withColumnRenamed("k", key)
+    rows = docs.select(col(key).alias("k"), col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, schema_of(rows, "k", ids=T.ArrayType(T.IntegerType()), decoded=T.StringType())).withColumnRenamed("k", key)
 
 
 def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens, ids_sha256 and decoded_sha256 of every text, as encode_texts would give them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = word_bpe(path)
+        bpe = kept(WordBpe, path)
         for b in batches:
             n, ids, back = zip(*(bpe.digest(t) for t in b.column(1).to_pylist())) if b.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
+        give_back()
 
     small_batches(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("k", key)
+    rows = docs.select(col(key).alias("k"), col(text).cast("string").alias("t"))
+    return rows.mapInArrow(run, schema_of(rows, "k", n_tokens=T.LongType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType())).withColumnRenamed("k", key)

@@ -17,10 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .anchors import MOST as BUFFER
 from .anchors import WINDOW, contexts
-from .common import release, settle, small_batches
+from .common import col, lean, release, schema_of, settle, small_batches
 from .suffixes import repeated_windows
 
 #: Bytes of text taken in at once, bytes of a shard about, and unlike contexts of one anchor in a shard at most.
@@ -29,7 +30,7 @@ TAKE, SHARD, MOST = 1 << 20, 3 << 20, 8192
 
 def row_key(key: str, text: str) -> Column:
     """Rows with the same id and text have the same key, and the same result."""
-    return F.xxhash64(F.col(key), F.col(text))
+    return F.xxhash64(col(key), col(text))
 
 
 def buffers(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], bytes, np.ndarray]]:
@@ -67,7 +68,7 @@ def members(texts: DataFrame) -> DataFrame:
                 context = np.fromiter((digest(whole[x : y + WINDOW]) for x, y in zip(first.tolist(), last.tolist())), np.uint64, len(first))
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys[np.array(rows)[i]]), pa.array(first + shift), pa.array(last + shift)], ["gram", "context", "key", "first", "last"])
 
-    return texts.mapInArrow(run, "gram long, context long, key long, first long, last long")
+    return texts.mapInArrow(lean(run), "gram long, context long, key long, first long, last long")
 
 
 def cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ def cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             parts = [texts_of[i][x : y + WINDOW] for i, x, y in zip(np.repeat(np.arange(len(n)), n).tolist(), first.tolist(), last.tolist())]
             yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("gram", "context", "copies", "unlike")), pa.array(parts, pa.binary())], ["gram", "context", "copies", "unlike", "bytes"])
 
-    return joined.mapInArrow(run, "gram long, context long, copies long, unlike long, bytes binary")
+    return joined.mapInArrow(lean(run), "gram long, context long, copies long, unlike long, bytes binary")
 
 
 def runs(starts: np.ndarray) -> list[dict[str, int]]:
@@ -122,7 +123,7 @@ def sorted_shards(parts: DataFrame) -> DataFrame:
             yield shard()
 
     dealt = parts.select("gram", "context", "copies", "bytes").repartition("gram").sortWithinPartitions("gram", "context")
-    return dealt.mapInArrow(run, "gram long, context long, spans array<struct<a:long,b:long>>")
+    return dealt.mapInArrow(lean(run), "gram long, context long, spans array<struct<a:long,b:long>>")
 
 
 def counted_windows(parts: DataFrame) -> DataFrame:
@@ -178,12 +179,13 @@ def keep(text: bytes, spans) -> tuple[bytes, int, int]:
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep_columns: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """key and keep_columns of every row, n_bytes, n_removed, n_spans, kept_sha256, and kept (binary) if asked for."""
-    bytes_of = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    bytes_of = F.coalesce(col(text).cast("string"), F.lit("")).cast("binary")
     texts = docs.select(row_key(key, text).alias("key"), bytes_of.alias("t"))
     spans = repeats(texts)
     small_batches(docs.sparkSession)
     names = [key, *keep_columns]
-    joined = docs.select(*names, row_key(key, text).alias("__key"), bytes_of.alias("__t")).join(spans.withColumnsRenamed({"key": "__key", "spans": "__spans"}), "__key", "left").select("__t", "__spans", *names)
+    rows = docs.select(F.struct(*map(col, names)).alias("row"), row_key(key, text).alias("key"), bytes_of.alias("t"))
+    joined = rows.join(spans, "key", "left").select("t", "spans", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,5 +201,5 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([*b.columns[2:], *(pa.array(c, k) for c, k in zip(cols, kinds))], [*b.schema.names[2:], *["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)]])
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["kept binary"] if with_text else [])])
-    return joined.mapInArrow(run, schema)
+    more = {"n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()} | ({"kept": T.BinaryType()} if with_text else {})
+    return joined.mapInArrow(lean(run), schema_of(joined, "row", **more)).select(*(F.col("row")[c].alias(c) for c in names), *more)

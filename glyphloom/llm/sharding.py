@@ -1,22 +1,25 @@
 """Sharding by best-fit-decreasing bin packing.
 
-Groups (equal texts) are indivisible; sorted by size, each enters the open bin with the least remaining capacity that still holds it, found in a balanced search tree, and a new bin is opened only if none does. The items of the packing are bounded: a group that holds at least one part in ITEMS of all bytes is an item of its own (there can be ITEMS of them at most); smaller groups are first gathered by a hash of their text into ITEMS parcels, which are items as well. Only the sizes of items reach the driver, and the map from items to shards is what is broadcast.
+Groups (equal texts) are indivisible; sorted by size, each enters the open bin with the least remaining capacity that still holds it, found in a balanced search tree, and a new bin is opened only if none does. Groups of one size are alike, and the bin that takes one of them is the best for the next while that still fits, so the packing goes by runs of equal sizes: it is made from the histogram of group sizes. As d different sizes need d * d / 2 bytes at least, the histogram has no more entries than the root of twice the bytes. The plan says which ranks among the groups of a size go to which bin; groups find their bin by their rank, which is counted in chunks, so that no size, however frequent, meets in one task.
 
 With a fixed number of shards, the capacity is the least (to one part in PRECISION) for which the packing needs no more bins than shards; a group larger than an even share gets a shard of its own first.
 
-Defined results: a null text counts as empty (size 1, CRC 0) and belongs to the group of empty texts; equal rows each get a slot; an empty table gives no rows.
+Defined results: a null text counts as empty (size 1, CRC 0) and belongs to the group of empty texts; equal rows each get a slot; groups of equal size are told apart by the hash of their text; an empty table gives no rows; a group larger than a fixed capacity is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import col, lean, settle
 
-ITEMS, PRECISION = 4096, 1 << 20
-#: Slots are counted within so many chunks of a shard, so that no shard meets in one task.
+PRECISION = 1 << 20
+#: Slots and ranks are counted within so many chunks of a shard or size, so that none meets in one task.
 CHUNKS = 512
 
 
@@ -70,80 +73,94 @@ class Tree:
         return found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each size; None if an item is too large or more than `most` bins are needed."""
-    tree, bins, out = Tree(), 0, [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        if sizes[i] > capacity:
+Run = tuple[int, int, int]  # size, number of groups, bin
+
+
+def best_fit_decreasing(sizes: dict[int, int], capacity: int, most: int | None = None) -> list[Run] | None:
+    """sizes: how many groups there are of each. Runs of groups, by falling size, and the bin that takes them; None if a group is too large or more than `most` bins are needed."""
+    tree, bins, out = Tree(), 0, []
+    for size in sorted(sizes, reverse=True):
+        left = sizes[size]
+        if size > capacity:
             return None
-        remaining, at = tree.take_least(sizes[i]) or (capacity, bins)
-        if at == bins:
-            bins += 1
-            if most is not None and bins > most:
-                return None
-        out[i] = at
-        tree.add((remaining - sizes[i], at))
+        while left:
+            remaining, at = tree.take_least(size) or (capacity, bins)
+            if at == bins:
+                bins += 1
+                if most is not None and bins > most:
+                    return None
+            n = min(left, remaining // size)
+            out.append((size, n, at))
+            left -= n
+            tree.add((remaining - n * size, at))
     return out
 
 
-def even_bins(sizes: list[int], n: int) -> list[int]:
-    """Bins 0 to n - 1, as full as one another as indivisible items allow."""
-    out, rest, left, first = [-1] * len(sizes), sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sum(sizes), 0
-    while rest and n - first > 1 and sizes[rest[0]] * (n - first) > left:
-        out[rest[0]] = first
-        left -= sizes[rest.pop(0)]
+def even_bins(sizes: dict[int, int], n: int) -> list[Run]:
+    """Bins 0 to n - 1, as full as one another as indivisible groups allow."""
+    out, rest, left, first = [], dict(sizes), sum(s * k for s, k in sizes.items()), 0
+    while rest and n - first > 1 and (size := max(rest)) * (n - first) > left:
+        out.append((size, 1, first))
+        left -= size
         first += 1
-    own = [sizes[i] for i in rest]
-    low = max([-(-left // (n - first)), *own[:1]])
+        rest[size] -= 1
+        if not rest[size]:
+            del rest[size]
+    low = max([-(-left // (n - first)), *rest])
     high, step = low, max(1, left // PRECISION)
     grown = step
-    while (found := best_fit_decreasing(own, high, n - first)) is None:
+    while (found := best_fit_decreasing(rest, high, n - first)) is None:
         low, high, grown = high, high + grown, 2 * grown
     while high - low > step:
         middle = (low + high) // 2
-        if (better := best_fit_decreasing(own, middle, n - first)) is None:
+        if (better := best_fit_decreasing(rest, middle, n - first)) is None:
             low = middle
         else:
             high, found = middle, better
-    for i, b in zip(rest, found):
-        out[i] = first + b
-    return out
+    return out + [(size, k, first + b) for size, k, b in found]
+
+
+def ranked(rows: DataFrame, part: str, order: list[str], chunk) -> DataFrame:
+    """rows with place, their number from 0 on among those of the same part, counted in chunks."""
+    own = rows.withColumn("chunk", chunk)
+    counts = own.groupBy(part, "chunk").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(part).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(part, "chunk").orderBy(*order)) - 1
+    joined = own.withColumn("rank", rank).join(counts.select(part, "chunk", before.alias("before")), [part, "chunk"])
+    return joined.withColumn("place", F.col("before") + F.col("rank")).drop("chunk", "rank", "before")
+
+
+def placed_groups(groups: DataFrame, runs: list[Run]) -> DataFrame:
+    """group_hash and shard. groups: group_hash and bytes."""
+    plan = np.array(sorted(runs, key=lambda r: r[0]), np.int64).reshape(-1, 3)  # runs of one size stay in order
+    size, n, shards = plan[:, 0], plan[:, 1], plan[:, 2].astype(np.int32)
+    new = np.ones(len(size), bool)
+    new[1:] = size[1:] != size[:-1]
+    start = np.cumsum(n) - n
+    sizes, begin = size[new], start[new]  # groups before those of each size
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            before = begin[np.searchsorted(sizes, b.column("bytes").to_numpy())]
+            at = np.searchsorted(start, before + b.column("place").to_numpy(), "right") - 1
+            yield pa.RecordBatch.from_arrays([b.column("group_hash"), pa.array(shards[at])], ["group_hash", "shard"])
 
-def items(rows: DataFrame) -> list[tuple[int, int, int]]:
-    """(kind, id, bytes) of each item: kind 1 a large group by its hash, 0 a parcel of small groups. rows: with group_hash and size."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.groupBy("group_hash").agg(F.sum("size").alias("bytes"))
-    large = F.col("bytes") * ITEMS >= total
-    found = groups.groupBy(large.cast("int").alias("kind"), F.when(large, F.col("group_hash")).otherwise(F.pmod("group_hash", F.lit(ITEMS))).alias("id")).agg(F.sum("bytes").alias("bytes"))
-    return sorted((r["kind"], r["id"], r["bytes"]) for r in found.collect())  # 2 * ITEMS at most
+    numbered = ranked(groups, "bytes", ["group_hash"], F.pmod("group_hash", F.lit(CHUNKS)))
+    return numbered.mapInArrow(lean(find), "group_hash long, shard int")
 
 
 def shard(docs: DataFrame, n_shards: int | None = 8, capacity: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, size, text_crc32, shard and slot of every row: n_shards even shards, or as few shards of that capacity as the packing needs (then no group may be larger)."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = settle(docs.select(F.col(key), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole).alias("group_hash")))
-    spark = docs.sparkSession
-    found = items(rows)
-    sizes = [x[2] for x in found]
-    bins = even_bins(sizes, n_shards) if capacity is None else best_fit_decreasing(sizes, capacity)
-    if bins is None:
+    whole = F.coalesce(col(text).cast("string"), F.lit(""))
+    rows = settle(docs.select(col(key).alias("key"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"), F.xxhash64(whole).alias("group_hash")))
+    groups = settle(rows.groupBy("group_hash").agg(F.sum("size").alias("bytes")))
+    sizes = {r["bytes"]: r["n"] for r in groups.groupBy("bytes").agg(F.count("*").alias("n")).collect()}  # the root of twice the bytes at most
+    runs = even_bins(sizes, n_shards) if capacity is None else best_fit_decreasing(sizes, capacity)
+    if runs is None:
         raise ValueError("a group is larger than the capacity")
-    of = lambda kind: pa.table({"id": pa.array([x[1] for x in found if x[0] == kind], pa.int64()), "bin": pa.array([b for x, b in zip(found, bins) if x[0] == kind], pa.int32())})
-    large, parcels = (spark.createDataFrame(of(kind)) for kind in (1, 0))
-    placed = (
-        rows.join(F.broadcast(large.withColumnsRenamed({"id": "group_hash", "bin": "own"})), "group_hash", "left")
-        .withColumn("parcel", F.pmod("group_hash", F.lit(ITEMS)))
-        .join(F.broadcast(parcels.withColumnsRenamed({"id": "parcel", "bin": "common"})), "parcel", "left")
-        .select(key, "size", "text_crc32", F.coalesce("own", "common").alias("shard"), F.pmod(F.xxhash64(F.col(key).cast("string"), "group_hash"), F.lit(CHUNKS)).alias("chunk"))
-    )
-    counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("shard", "chunk", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(key, "text_crc32")) - 1
-    ranked = placed.withColumn("rank", rank)
-    joined = ranked.join(F.broadcast(starts) if capacity is None else starts, ["shard", "chunk"])  # n_shards * CHUNKS rows
-    return joined.select(key, "size", "text_crc32", "shard", (F.col("before") + F.col("rank")).cast("long").alias("slot"))
+    placed = rows.join(placed_groups(groups, runs), "group_hash")
+    out = ranked(placed, "shard", ["key", "text_crc32"], F.pmod(F.xxhash64(F.col("key").cast("string"), "group_hash"), F.lit(CHUNKS)))
+    return out.select(F.col("key").alias(key), "size", "text_crc32", "shard", F.col("place").cast("long").alias("slot"))
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8) -> DataFrame:

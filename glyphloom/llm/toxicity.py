@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import col, lean, schema_of, small_batches
 
 #: Labelled rows learned from, at most: those with the least hash of their key. Entries of the lexicon, at most.
 FIT_ROWS, LEXICON = 20_000, 1000
@@ -218,7 +219,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
             keys = [xxhash.xxh3_64_intdigest(t or "") >> 1 for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), b.column(1), pa.array([sketch(words_of(t), odd).tobytes() for t in texts], pa.binary())], ["key", "toxic", "sketch"])
 
-    drawn = sample.select("text", F.col("toxic").cast("long")).mapInArrow(draw, "key long, toxic long, sketch binary").orderBy("key", "toxic").collect()  # FIT_ROWS at most
+    drawn = sample.select("text", F.col("toxic").cast("long")).mapInArrow(lean(draw), "key long, toxic long, sketch binary").orderBy("key", "toxic").collect()  # FIT_ROWS at most
     of_row = families(np.frombuffer(b"".join(r["sketch"] for r in drawn), np.uint64).reshape(-1, HASHES))
     family_of = {r["key"]: int(f) for r, f in zip(drawn, of_row)}
     n = len({int(f) for r, f in zip(drawn, of_row) if r["toxic"]})
@@ -231,7 +232,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic] * len(words), pa.int64()), pa.array([family] * len(words), pa.int64())], ["word", "toxic", "family"])
 
     least = max(LEAST, SHARE * n)
-    words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(run, "word string, toxic long, family long").groupBy("word", "family").agg(F.max("toxic").alias("bad"), (1 - F.min("toxic")).alias("good")).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    words = sample.select("text", F.col("toxic").cast("long")).mapInArrow(lean(run), "word string, toxic long, family long").groupBy("word", "family").agg(F.max("toxic").alias("bad"), (1 - F.min("toxic")).alias("good")).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     some = words.withColumn("stem", F.explode(F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda k: F.when(k <= F.length("word"), F.substring("word", F.lit(1), k))))).where("stem is not null")
     stems = some.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.sum(F.expr("if(bad > 0, 1, 0)")).alias("endings"))
     firm = f"bad >= {least} and good <= {STRAY} * bad"
@@ -272,8 +273,8 @@ def count_matches(docs: DataFrame, lexicon: Lexicon, keep: list[str], text: str
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(found, pa.list_(pa.int32()))], [*b.schema.names[1:], "matches"])
 
     small_batches(docs.sparkSession)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "matches array<int>"])
-    return docs.select(F.col(text).cast("string").alias("__text"), *keep).mapInArrow(run, schema)
+    rows = docs.select(col(text).cast("string").alias("__text"), *map(col, keep))
+    return rows.mapInArrow(lean(run), schema_of(rows, *keep, matches=T.ArrayType(T.IntegerType())))
 
 
 def held_out(key: str = "doc_id"):
@@ -304,8 +305,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(s, pa.float64()), pa.array((s >= at).astype(np.int32)), pa.array(found.sum(1).astype(np.int64))], [*b.schema.names[1:], "score", "predicted", "n_matches"])
 
     small_batches(docs.sparkSession)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double, predicted int, n_matches long"])
-    return docs.select(F.col(text).cast("string").alias("__text"), *keep).mapInArrow(run, schema)
+    rows = docs.select(col(text).cast("string").alias("__text"), *map(col, keep))
+    return rows.mapInArrow(lean(run), schema_of(rows, *keep, score=T.DoubleType(), predicted=T.IntegerType(), n_matches=T.LongType()))
 
 
 def score_column(model: Model, text):

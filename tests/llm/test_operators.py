@@ -119,12 +119,37 @@ def test_licenses(spark, docs):
     rows = licenses.scan_licenses(docs).collect()
     assert [(r["doc_id"], r["start"], r["license"], r["n_lacking"], r["n_added"]) for r in rows] == [(13, 0, "MIT", 0, 0)]
     near = "Text before. This work is licensed under the GNU General Public Licence, version 3. Text after."
-    found = licenses.scan(near)
-    assert [(near[f[0] : f[0] + f[1]].strip(), f[2], f[5]) for f in found] == [("This work is licensed under the GNU General Public Licence, version 3.", "GPL-3.0", 1)]
-    assert licenses.scan("A license to print money, and copyright law.") == [] and licenses.scan(None) == []
+    ready = licenses.Templates()
+    found = licenses.scan(near, ready)
+    assert [(near[f[0] : f[0] + f[1]], f[2], f[5]) for f in found] == [("This work is licensed under the GNU General Public Licence, version 3", "GPL-3.0", 1)]
+    assert licenses.scan("A license to print money, and copyright law.", ready) == [] and licenses.scan(None, ready) == []
     assert licenses.scan_licenses(empty(spark, docs)).count() == 0
 
 
+def test_licenses_against_brute_force():
+    """Notices wrapped, edited, in prose and in runs of one another: found where the words differ by no more than is allowed, wherever lines end."""
+    ready = licenses.Templates()
+    rng = np.random.default_rng(12)
+    seen = collections.Counter()
+    for trial in range(150):
+        name, wording = licenses.TEMPLATES[trial % len(licenses.TEMPLATES)]
+        own = re.findall(r"\S+", wording)
+        for _ in range(int(rng.integers(0, 2 + len(own) // 4))):
+            at = int(rng.integers(0, len(own)))
+            own[at : at + 1] = [[], ["zyx"], [own[at], "zyx"]][int(rng.integers(0, 3))]
+        lines = "".join(w + ("\n# " if rng.random() < 0.2 else " ") for w in own)
+        text = f"{prose(trial, int(rng.integers(0, 200)))} {lines} {prose(trial + 999, int(rng.integers(0, 200)))}"
+        wanted = {ready.names[k] for k, w in enumerate(ready.words) if sum(map(len, licenses.differences(w, licenses.words(text))[2:])) <= ready.most[k]}
+        got = {f[2] for f in licenses.scan(text, ready)}
+        assert got <= wanted and bool(got) == bool(wanted), (text, got, wanted)
+        seen[bool(wanted)] += 1
+    assert min(seen[True], seen[False]) > 10
+    both = " ".join(w for _, w in licenses.TEMPLATES for _ in range(2))  # one run of notices
+    assert collections.Counter(f[2] for f in licenses.scan(both, ready)) == collections.Counter(n for n, _ in licenses.TEMPLATES for _ in range(2))
+    long = prose(5, 150_000) + licenses.TEMPLATES[3][1].replace(" ", "\n") + prose(6, 1000)
+    assert [f[2] for f in licenses.scan(long, ready)] == ["MIT"]
+
+
 def sets_by_hand(texts):
     out = {}
     for i, t in texts:
@@ -319,19 +344,38 @@ def test_sharding(spark, docs):
 def test_best_fit_decreasing():
     rng = np.random.default_rng(2)
     sizes = rng.integers(1, 100, 500).tolist()
-    got = sharding.best_fit_decreasing(sizes, 128)
-    bins, want = [], [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fit = min(((r, b) for b, r in enumerate(bins) if r >= sizes[i]), default=None)
+    runs = sharding.best_fit_decreasing(collections.Counter(sizes), 128)
+    got = [(size, at) for size, n, at in runs for _ in range(n)]
+    bins, want = [], []
+    for size in sorted(sizes, reverse=True):
+        fit = min(((r, b) for b, r in enumerate(bins) if r >= size), default=None)
         if fit is None:
             fit = (128, len(bins))
             bins.append(128)
-        bins[fit[1]] -= sizes[i]
-        want[i] = fit[1]
+        bins[fit[1]] -= size
+        want.append((size, fit[1]))
     assert got == want
-    even = sharding.even_bins([1000, *[1] * 700], 8)
-    loads = np.bincount(even, [1000, *[1] * 700], 8)
-    assert sorted(loads)[:7] == [100] * 7
+    loads = collections.Counter()
+    for size, n, at in sharding.even_bins({1000: 1, 1: 700}, 8):
+        loads[at] += size * n
+    assert sorted(loads.values()) == [100] * 7 + [1000]
+
+
+def test_fixed_capacity(spark):
+    """As few shards of a capacity as the packing needs, groups whole, many groups of one size."""
+    texts = [(i, "x" * (i % 7 * 10) + str(i // 2)) for i in range(400)] + [(1000 + i, "same") for i in range(30)]
+    rows = sharding.shard(spark.createDataFrame(texts, "doc_id long, text string"), None, 200).collect()
+    loads, of, slots = collections.Counter(), {}, collections.defaultdict(list)
+    by = dict(texts)
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        assert of.setdefault(by[r["doc_id"]], r["shard"]) == r["shard"]
+    assert len(rows) == 430 and max(loads.values()) <= 200 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    groups = collections.Counter()
+    for t in by.values():
+        groups[t] += len(t) + 1
+    assert len(loads) == 1 + max(at for _, _, at in sharding.best_fit_decreasing(collections.Counter(groups.values()), 200))
 
 
 def test_embeddings(spark):
@@ -459,7 +503,7 @@ def test_bpe(spark, docs):
 
 
 def test_merge_long_equals_merge():
-    b = bpe.word_bpe(public_tokenizers.path("word_bpe_49k.json"))
+    b = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
     rng = np.random.default_rng(0)
     for _ in range(50):
         raw = bytes(rng.choice(list(b"aeinrst"), 60).astype(np.uint8))
@@ -505,3 +549,59 @@ def test_pipeline(spark):
     assert max(collections.Counter(x[k : k + 400] for x in data for k in range(len(x) - 399)).values(), default=1) == 1
     last = corpus_pipeline.STAGES[-1][1](spark, now, SF)
     assert {r["doc_id"] for r in last.select("doc_id").distinct().collect()} == set(kept)
+
+
+#: Nulls in every column, empty and long texts, ties, repeated rows, and names that clash or need quotes.
+ODD_NAMES = ("my col", "a.b", "q`t", "key", "gram", "class", "id", "component", "k", "t", "size", "kept", "score", "label", "v", "rep", "spans", "__text", "__key", "piece", "length", "host", "rule")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    schema = Y.StructType([Y.StructField("doc_id", Y.LongType()), Y.StructField("text", Y.StringType()), *(Y.StructField(n, Y.StringType()) for n in ODD_NAMES), Y.StructField("n_chars", Y.LongType())])
+    texts = [(1, None), (2, ""), (3, " \n"), (4, prose(2, 300)), (4, prose(2, 300)), (5, prose(2, 300)), (None, prose(2, 300)), (None, None), (6, prose(3, 200_000)), (7, prose(3, 200_000)), (8, prose(8, 60)), (9, prose(9, 60)), (9, "another text of this id")]
+    return spark.createDataFrame([(i, t, *(None if k % 2 else f"x{k}" for k, _ in enumerate(ODD_NAMES)), None) for i, t in texts], schema)
+
+
+def by_id(rows, *columns):
+    out = collections.defaultdict(list)
+    for r in rows:
+        out[r[0]].append(tuple(r[c] for c in columns))
+    return out
+
+
+def test_odd_table_through_the_operators(spark, odd):
+    n = odd.count()
+    assert jaccard.similar_documents(odd).count() == n
+    parts = by_id(jaccard.similar_documents(odd).collect(), "component_id")
+    assert parts[4] == [(4,), (4,)] and parts[5] == [(4,)] and parts[7] == [(6,)] and parts[2] == [(2,)]
+    assert by_id(dedup.without_repeats(odd).collect(), "n_removed")[8] == [(0,)] and dedup.without_repeats(odd, keep_columns=ODD_NAMES, with_text=True).columns[1:-5] == list(ODD_NAMES)
+    assert dedup.without_repeats(odd, keep_columns=ODD_NAMES).count() == n
+    assert packing.pack_documents(odd, public_tokenizers.path("byte_bpe_50k.json")).where("piece = 0").count() == n
+    assert bpe.encode_digests(odd, public_tokenizers.path("word_bpe_49k.json")).count() == n
+    assert licenses.scan_licenses(odd).count() == 0
+    assert sharding.shard_by_bytes(odd).count() == n
+    for labels in ([], [(4, 1, 0), (4, 0, 1), (None, 1, 1), (9, None, None), (8, 0, 1), (8, 0, 1)]):
+        own = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        judged = quality.judge(odd, quality.fit(odd, own)).collect()
+        assert len(judged) == n and by_id(judged, "n_words", "base_failed")[1] == [(0, True)]
+        found = toxicity.score(odd, toxicity.fit(odd, own)).collect()
+        assert len(found) == n and all(0 <= r["score"] <= 1 for r in found) and len({r["score"] for r in found if r["doc_id"] in (4, 5)}) == 1
+    vectors = spark.createDataFrame([(i, v, *ODD_NAMES) for i, v in ((1, None), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0]), (4, []))], Y.StructType([Y.StructField("vec_id", Y.LongType()), Y.StructField("embedding", Y.ArrayType(Y.FloatType())), *(Y.StructField(x, Y.StringType()) for x in ODD_NAMES)]))
+    assert by_id(embeddings.near_duplicates(vectors).collect(), "n_links", "component_id")[3] == [(1, 2)]
+    pages = spark.createDataFrame([(i, u, *ODD_NAMES[:-2]) for i, u in ((1, None), (2, ""), (2, ""), (3, "http://a.net/x"), (None, "x://" + "y" * 100_000))], Y.StructType([Y.StructField("page_id", Y.LongType()), Y.StructField("url", Y.StringType()), *(Y.StructField(x, Y.StringType()) for x in ODD_NAMES[:-2])]))
+    assert urls.judge(pages).count() == 5
+
+
+def test_odd_table_through_the_stages(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(4, 1, 0), (None, None, None), (8, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (odd, odd.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            one = stage(spark, table, str(tmp_path))  # each on the odd table itself
+            assert one.columns == odd.columns and one.count() <= table.count(), name
+            now = corpus_pipeline.settle(stage(spark, now, str(tmp_path)))
+        assert corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).count() >= now.count()
+    once = corpus_pipeline.ngram_join(spark, odd, str(tmp_path))
+    assert sorted((r["doc_id"] or 0) for r in once.collect()) == [0, 0, 1, 2, 3, 4, 4, 6, 8, 9, 9]
