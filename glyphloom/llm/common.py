@@ -49,12 +49,17 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete settled tables that nothing will read again, and let Spark delete the shuffles behind them."""
+def release_files(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again."""
     for df in tables:
         if path := getattr(df, "settled_at", None):
             at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """The same, and let Spark delete the shuffles behind them."""
+    release_files(*tables)
     gc.collect()
     SparkSession.active()._jvm.System.gc()
 
@@ -64,6 +69,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: A sample's cut lets through so many times the rows wanted, of which those with the least hash are taken.
+SPARE, GRAIN = 1.25, 1 << 40
+
+
+def sample_of(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """At most so many rows, those with the least hash of the columns given. A cut made from their number keeps the rest from being sent anywhere."""
+    total = rows.count()
+    own = rows.withColumn("__h", F.pmod(F.xxhash64(*map(col, by)), F.lit(GRAIN)))
+    if total > most:
+        own = own.where(F.col("__h") < int(GRAIN * SPARE * most / total))
+    return own.orderBy("__h", *map(col, by)).limit(most).drop("__h")
+
+
 #: Called when an operator's partition ends, to empty its modules' caches.
 FORGET: list[Callable[[], None]] = []
 #: What a worker keeps from one partition to the next: one thing, by its maker and arguments.
