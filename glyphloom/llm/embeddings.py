@@ -1,10 +1,10 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filter directions are the words of a structured random code: after a random rotation, the dimensions are parted into blocks, each block has a few random unit vectors, and a direction joins one of each. A vector is list-decoded to all directions whose inner product with it is at least a threshold: partial sums that can no longer reach it are cut off. Vectors that share a direction are compared by cosine in double precision. The threshold is set from the number of vectors so that a direction holds about BUCKET of them. Directions of one code share their blocks' vectors, so a pair's hits come in clumps; how often a pair at the wanted cosine shares no direction of a code is therefore measured on TRIALS planted pairs, and codes, which are rotated independently, are added until the product of their misses is MISS at most.
+Filter directions are the words of a structured random code: after a random rotation, the dimensions are parted into blocks, each block has a few random unit vectors, and a direction joins one of each. A vector is list-decoded to all directions whose inner product with it is at least a threshold: partial sums that can no longer reach it are cut off. The threshold is set from the number of vectors so that a direction holds about BUCKET of them, and at most half of all. Directions of one code share their blocks' vectors, so a pair's hits come in clumps; how often a pair at the wanted cosine shares no direction of a code is therefore measured on TRIALS planted pairs, and codes, which are rotated independently, are added until the product of their misses is MISS at most.
 
-Equal vectors are one class. A direction's vectors are compared in blocks of BLOCK, block against block in a task of its own, so none meets whole in one task; a pair that shares several directions counts in the least of them alone. What leaves a task is a count of links and a pointer to the least vector found for each vector, not pairs.
+Vectors that share a direction are joined and then verified. What goes to a direction is a sketch of a byte for each dimension with the length of what rounding took away, which bounds the cosine from above; of the pairs whose bound reaches the wanted cosine, no more leave a task than join its vectors. Vectors joined in this way are a cluster. A cluster's vectors meet in blocks of BLOCK, block against block in a task of its own, so that each two are compared once, by cosine in double precision, and none meets whole in one task. What leaves a task is a count of links and a pointer to the least vector found for each vector, not pairs. So exact vectors are copied once for each block of their cluster, sketches once for each direction and each block of vectors there, and a link is found if any chain of such pairs joins its ends.
 
-Defined results: a vector that is null, zero, empty or holds a null or a component that isn't finite links with nothing; vectors of different lengths do not link; rows that repeat an id are copies of one another if equal, and the id's links are counted over them.
+Equal vectors are one class. Defined results: a vector that is null, zero, empty or holds a null or a component that isn't finite links with nothing; vectors of different lengths do not link; rows that repeat an id are copies of one another if equal, and the id's links are counted over them.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import col, lean, release, settle, whole_groups
 from .components import components
+from .jaccard import Forest
 
-#: A code has a CODES-th of the directions that would do if their hits were independent; pairs on which a code's misses are measured.
-BUCKET, BLOCK, PARTS, CODES, MISS, SEED, TRIALS = 200, 1024, 2, 8, 1e-4, 20, 2000
+#: A code has a CODES-th of the directions that would do if their hits were independent; pairs on which a code's misses are measured; vectors compared in one product.
+BUCKET, BLOCK, PARTS, CODES, MISS, SEED, TRIALS, TILE = 400, 8192, 2, 24, 1e-3, 20, 4000, 1024
 
 
 def tail(t: float) -> float:
@@ -38,9 +39,7 @@ def both(t: float, rho: float) -> float:
 
 def directions(n: int, dim: int, cosine: float) -> tuple[float, int, int]:
     """Threshold in standard deviations, parts, and words of each part's code."""
-    if n <= BUCKET:
-        return -4.0 * math.sqrt(dim), 1, 2  # every vector passes every direction
-    share = BUCKET / n
+    share = min(0.5, BUCKET / max(n, 1))
     low, high = 0.0, 40.0
     for _ in range(60):
         middle = (low + high) / 2
@@ -82,8 +81,6 @@ class CapCode:
                 w = rng.standard_normal((self.size, s.stop - s.start))
                 code.append(turn[:, s] @ (w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt((s.stop - s.start) / dim)).T)
             self.words.append(code)
-            if n <= BUCKET:
-                break
             (i, p), (j, q) = (self.of_code(v, code) for v in planted(rng, TRIALS, dim, cosine))
             total = self.size**self.parts
             shared = np.unique(np.intersect1d(i * total + p, j * total + q, assume_unique=True) // total)
@@ -120,63 +117,98 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def unlisted(left: np.ndarray, right: np.ndarray, before: int) -> np.ndarray:
-    """For each row, whether the two lists (-1 fills them) share no number below `before`."""
-    fresh = np.ones(len(left), bool)
-    for c in range(left.shape[1]):
-        own = left[:, c]
-        todo = np.nonzero(fresh & (own >= 0) & (own < before))[0]
-        if not len(todo):
-            continue
-        fresh[todo] = ~(right[todo] == own[todo, None]).any(1)
-    return fresh
-
-
-def compare(a: dict, b: dict | None, direction: int, cosine: float) -> list[tuple[int, int, int]]:
-    """(id, links, least id reached) of two blocks of one direction, or of one block with itself. Blocks: id, copies, x, lists."""
-    other = a if b is None else b
-    left, right = np.nonzero(a["x"] @ other["x"].T >= cosine)
-    if b is None:
-        left, right = left[left < right], right[left < right]
-    if not len(left):
-        return []
-    fresh = np.concatenate([unlisted(a["lists"][left[i : i + 100_000]], other["lists"][right[i : i + 100_000]], direction) for i in range(0, len(left), 100_000)])
-    ids = a["id"] if b is None else np.concatenate([a["id"], b["id"]])
-    shift = 0 if b is None else len(a["id"])
+def sketches(x: np.ndarray) -> list[bytes]:
+    """Of unit vectors: the step and the length of what rounding takes away, as four bytes each, and the rounded components, a byte each."""
+    step = np.maximum(np.abs(x).max(1), 1e-30) / 127
+    rounded = np.rint(x / step[:, None]).astype(np.int8)
+    step = step.astype("<f4")
+    lost = np.linalg.norm(x - rounded * step.astype(float)[:, None], axis=1) + 1e-6
+    lost = lost.astype("<f4")
+    return [step[i].tobytes() + lost[i].tobytes() + rounded[i].tobytes() for i in range(len(x))]
+
+
+def alike(left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
+    """Which pairs of sketches (rows of bytes) may reach the cosine."""
+
+    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        step, lost = (np.ascontiguousarray(x[:, a : a + 4]).view("<f4").ravel().astype(float) for a in (0, 4))
+        return x[:, 8:].view(np.int8).astype(np.float32 if x.shape[1] < 1000 else float), step, lost  # products of bytes are whole numbers that either holds exactly
+
+    (x, s, r), (y, t, q) = parts(left), parts(right)
+    return (x @ y.T) * s[:, None] * t >= cosine - (r[:, None] + q + r[:, None] * q) - 1e-9
+
+
+def joined_in_blocks(dealt: DataFrame, cosine: float) -> DataFrame:
+    """Pairs a, b that may link, no more than join the vectors of a block. dealt: direction, a, b, own, rep and sketch, in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "direction", "a", "b"):
+            direction, a, b, own, rep = (t.column(c).to_numpy() for c in ("direction", "a", "b", "own", "rep"))
+            whole = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+            new = np.ones(len(rep), bool)
+            new[1:] = (direction[1:] != direction[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            start = np.nonzero(new)[0].tolist()
+            found: list[tuple[int, int]] = []
+            for lo, hi in zip(start, [*start[1:], len(rep)]):
+                mine = own[lo:hi]
+                left, right = (np.nonzero(mine == k[lo])[0] for k in (a, b))
+                forest = Forest(np.arange(hi - lo))
+                for i in range(0, len(left), TILE):
+                    for j in range(0, len(right), TILE):
+                        if forest.left == 1:
+                            break
+                        rows, others = left[i : i + TILE], right[j : j + TILE]
+                        near = alike(whole[lo + rows], whole[lo + others], cosine)
+                        near &= rows[:, None] != others
+                        for k in np.nonzero(near.any(1))[0].tolist():
+                            forest.link(int(rows[k]), forest.apart(int(rows[k]), others[near[k]]))
+                found += [(x + lo, y + lo) for x, y in forest.pairs]
+            if found:
+                both = np.array(found)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[both[:, 0]]), pa.array(rep[both[:, 1]])], ["a", "b"])
+
+    return dealt.mapInArrow(lean(run), "a long, b long")
+
+
+def compare(left: dict, right: dict | None, cosine: float) -> list[tuple[int, int, int]]:
+    """(id, links, least id reached) of two blocks of vectors, or of one block with itself. Blocks: id, copies, x (unit vectors)."""
+    other = left if right is None else right
+    ids = left["id"] if right is None else np.concatenate([left["id"], right["id"]])
+    shift = 0 if right is None else len(left["id"])
     links = np.zeros(len(ids), np.int64)
-    np.add.at(links, left[fresh], other["copies"][right[fresh]])
-    np.add.at(links, right[fresh] + shift, a["copies"][left[fresh]])
-    least, ends = np.arange(len(ids)), right + shift
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    least = rank.copy()
-    while True:
-        before = least.copy()
-        low = np.minimum(least[left], least[ends])
-        np.minimum.at(least, left, low)
-        np.minimum.at(least, ends, low)
-        least = least[order[least]]
-        if (least == before).all():
-            break
-    touched = np.unique(np.concatenate([left, ends]))
-    return [(int(ids[i]), int(links[i]), int(ids[order[least[i]]])) for i in touched]
+    forest = Forest(np.arange(len(ids)))
+    for i in range(0, len(left["id"]), TILE):
+        for j in range(0, len(other["id"]), TILE):
+            near = left["x"][i : i + TILE] @ other["x"][j : j + TILE].T >= cosine
+            if right is None and i == j:
+                np.fill_diagonal(near, False)
+            links[i : i + near.shape[0]] += near @ other["copies"][j : j + near.shape[1]]
+            if right is not None:
+                links[shift + j : shift + j + near.shape[1]] += left["copies"][i : i + near.shape[0]] @ near
+            if forest.left > 1:
+                for k in np.nonzero(near.any(1))[0].tolist():
+                    forest.link(i + k, forest.apart(i + k, np.nonzero(near[k])[0] + j + shift))
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, forest.labels, ids)
+    touched = np.nonzero(links)[0]
+    return [(int(ids[i]), int(links[i]), int(least[forest.labels[i]])) for i in touched]
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.9, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """key, n_links, component_id and kept of every row."""
-    spark = rows.sparkSession
-    v = F.col(vector).cast("array<double>")
+    element = rows.schema[vector].dataType.elementType
+    exact = "array<float>" if element.simpleString() == "float" else "array<double>"
+    v = col(vector).cast(exact)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    fine = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col(key).isNotNull()
-    plus = F.transform(v, lambda x: x + F.lit(0.0))  # no negative zeros
-    base = rows.select(F.col(key).alias("id"), F.when(fine, plus).alias("v")).withColumn("class", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
-    base = settle(base)
-    classes = base.where("class is not null").groupBy("class").agg(F.min(F.struct("id", "v")).alias("x"), F.count("*").alias("copies")).select("class", F.col("x.id").alias("rep"), "copies", F.col("x.v").alias("v"))
-    classes = settle(classes)
+    fine = F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False)) & col(key).isNotNull()
+    plus = F.transform(v, lambda x: x + F.lit(0.0)).cast(exact)  # no negative zeros
+    base = rows.select(col(key).alias("id"), F.when(fine, plus).alias("v"))
+    hashed = F.when(F.col("v").isNotNull(), F.struct(F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g")))  # 128 bits
+    base = base.withColumn("class", hashed)
+    classes = settle(base.where("class is not null").groupBy("class").agg(F.min(F.struct("id", "v")).alias("x"), F.count("*").alias("copies")).select("class", F.col("x.id").alias("rep"), "copies", F.col("x.v").alias("v")))
     edges, counts = None, None
     for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect():  # a row for each length of vectors
-        found = settle(links(classes.where(F.size("v") == r["dim"]).select("rep", "copies", "v"), CapCode(r["n"], r["dim"], cosine), cosine))
+        found = links(classes.where(F.size("v") == r["dim"]).select("rep", "copies", "v"), CapCode(r["n"], r["dim"], cosine), cosine)
         e, c = found.where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b")), found.select("id", "links")
         edges, counts = (e, c) if edges is None else (edges.union(e), counts.union(c))
     if edges is None:
@@ -188,6 +220,15 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, key: str = "vec_id", v
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def in_blocks(rows: DataFrame, group: str, *what: str) -> DataFrame:
+    """The rows of each group in blocks, block against block in a task of its own."""
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    keys = [group, "a", "b"]
+    return dealt.select(group, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", *what).repartition(*keys).sortWithinPartitions(*keys)
+
+
 def links(classes: DataFrame, code: CapCode, cosine: float) -> DataFrame:
     """id, links, least of vectors that link, in parts: links are to be summed."""
 
@@ -195,50 +236,33 @@ def links(classes: DataFrame, code: CapCode, cosine: float) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                lists = code.decode(unit(matrix(b.column("v"))))
-                n = [len(x) for x in lists]
-                take = np.repeat(np.arange(b.num_rows), n)
-                flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), b.column("rep").take(take), b.column("copies").take(take), b.column("v").take(take), pa.array([x.tolist() for x in lists], pa.list_(pa.int64())).take(take)], ["direction", "rep", "copies", "v", "lists"])
-
-    dealt = settle(classes.mapInArrow(decode, "direction long, rep long, copies long, v array<double>, lists array<long>"))
-    sizes = dealt.groupBy("direction").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    many = sizes.where("blocks > 1")
-    placed = dealt.join(many, "direction", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("direction", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "copies", "v", "lists")
+                x = unit(matrix(b.column("v")))
+                lists = code.decode(x)
+                take = np.repeat(np.arange(b.num_rows), [len(y) for y in lists])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), b.column("rep").take(pa.array(take)), pa.array(sketches(x), pa.binary()).take(pa.array(take))], ["direction", "rep", "sketch"])
+
+    placed = settle(classes.mapInArrow(lean(decode), "direction long, rep long, sketch binary"))
+    near = settle(joined_in_blocks(in_blocks(placed, "direction", "sketch"), cosine).distinct())
+    release(placed)
+    clusters = settle(components(near).select(F.col("id").alias("rep"), F.col("component_id").alias("cluster")))
+    exact = in_blocks(classes.join(clusters, "rep"), "cluster", "copies", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            own = t.column("own").to_numpy()
-            lists = [np.asarray(x, np.int64) for x in t.column("lists").to_pylist()]
-            wide = np.full((len(lists), max(map(len, lists))), -1, np.int64)
-            for i, x in enumerate(lists):
-                wide[i, : len(x)] = x
-            all_of = {"id": t.column("rep").to_numpy(), "copies": t.column("copies").to_numpy(), "x": unit(matrix(t.column("v").chunk(0))), "lists": wide}
-            part = lambda m: {k: v[m] for k, v in all_of.items()}
-            found = compare(all_of, None, now[0], cosine) if now[1] == now[2] else compare(part(own == now[1]), part(own == now[2]), now[0], cosine)
+        for t in whole_groups(batches, "cluster", "a", "b"):
+            cluster, a, b, own, rep, copies = (t.column(c).to_numpy() for c in ("cluster", "a", "b", "own", "rep", "copies"))
+            x = unit(matrix(t.column("v").combine_chunks()))
+            new = np.ones(len(rep), bool)
+            new[1:] = (cluster[1:] != cluster[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            start = np.nonzero(new)[0].tolist()
+            found = []
+            for lo, hi in zip(start, [*start[1:], len(rep)]):
+                part = lambda m: {"id": rep[lo:hi][m], "copies": copies[lo:hi][m], "x": x[lo:hi][m]}  # noqa: B023, E731
+                mine = own[lo:hi]
+                found += compare(part(mine == a[lo]), None if a[lo] == b[lo] else part(mine == b[lo]), cosine)
             if found:
                 ids, n, least = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, n, least)], ["id", "links", "least"])
 
-        for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("direction", "a", "b"))))
-            at = 0
-            while at < len(keys):
-                end = at
-                while end < len(keys) and keys[end] == keys[at]:
-                    end += 1
-                if now is not None and keys[at] != now:
-                    yield from done()
-                    held = []
-                now = keys[at]
-                held.append(b.slice(at, end - at))
-                at = end
-        if held:
-            yield from done()
-
-    return paired.repartition("direction", "a", "b").sortWithinPartitions("direction", "a", "b").mapInArrow(run, "id long, links long, least long")
+    found = settle(exact.mapInArrow(lean(run), "id long, links long, least long"))
+    release(near, clusters)
+    return found
