@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, sample_of
 
 #: Labelled rows the list is learned from, at most: those with the least hash of their key.
 FIT_ROWS = 8000
@@ -182,8 +182,10 @@ def decision_list(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
     """docs: doc_id and text; labels: doc_id and quality (1 good, 0 bad)."""
-    chosen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    sample = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), keep=("doc_id", "quality")).orderBy("doc_id").collect()  # rows at most, but for ids that repeat
+    chosen = sample_of(labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality"), rows, "doc_id", "quality")
+    found = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), keep=("doc_id", "quality"))
+    one = F.min(F.struct("quality", "n_words", "n_repeat_words", *RATIOS))  # where an id repeats
+    sample = found.groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.*").orderBy("doc_id").collect()  # rows at most
     if not sample:
         return []
     x = np.array([[r[n] for n in RATIOS] for r in sample], float)

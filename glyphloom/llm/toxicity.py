@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, lean, schema_of, small_batches
+from .common import col, lean, sample_of, schema_of, settle, small_batches
 
 #: Labelled rows learned from, at most: those with the least hash of their key. Entries of the lexicon, at most.
 FIT_ROWS, LEXICON = 20_000, 1000
@@ -284,10 +284,10 @@ def held_out(key: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Held-out rows are not looked at."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out())
-    chosen = own.select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = joined.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).agg(F.max(F.struct("toxic", "doc_id")).alias("x"))
-    kept = joined.join(F.broadcast(sample.select("x.doc_id")), "doc_id", "left_semi")
+    chosen = sample_of(own.select("doc_id", "toxic"), rows, "doc_id", "toxic")
+    joined = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = joined.groupBy("doc_id").agg(F.max(F.struct("toxic", "text")).alias("x")).select("doc_id", "x.*")  # where an id repeats
+    kept = settle(once.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id")))
     lexicon = learn_lexicon(kept.select("text", "toxic"))
     found = count_matches(kept, lexicon, ["doc_id", "toxic"]).orderBy("doc_id").collect()
     if not found:

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, sample_of
+
 #: The rules of the registered query: (verdict, rule). A rule is a host and a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Labelled URLs the trees are grown from, at most: those with the least hash.
@@ -152,7 +154,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
 
 def fit(rows: DataFrame, most: int = FIT_ROWS, key: str = "page_id") -> Boosted:
     """rows: the result of with_suffixes()."""
-    sample = rows.where("label is not null").select("label", *FEATURES, F.xxhash64(key, "host", "path").alias("h")).orderBy("h", *FEATURES).limit(most).collect()
+    sample = sample_of(rows.where("label is not null").select(F.xxhash64(col(key), "host", "path").alias("k"), "label", *FEATURES), most, "k", *FEATURES).collect()
     x = np.array([[r[n] for n in FEATURES] for r in sample], float).reshape(-1, len(FEATURES))
     return boost(x, np.array([r["label"] for r in sample], float))
 
