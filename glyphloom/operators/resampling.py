@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +50,46 @@ def permutation_test(pairs: DataFrame, n: int, strata: tuple[str, ...]) -> DataF
     return joined.groupBy("pairs", "observed").agg(F.avg("mi").alias("null_mean"), F.stddev_samp("mi").alias("null_sd"), ((1 + F.sum(F.when(F.col("mi") >= F.col("observed") - 1e-12, 1).otherwise(0))) / (1 + F.count("*"))).alias("p")).withColumn("excess", F.col("observed") - F.col("null_mean"))
 
 
+#: Letters permuted in one array, about.
+DRAWN = 1 << 22
+
+
+def paged_permutations(pairs: DataFrame, n: int, page: str, pos: str = "pos") -> DataFrame:
+    """pairs: page, pos, a, b (letters a to z). rep, a, b, n: the b's of each page in n random orders, rep 0 as they are.
+
+    A page's random numbers come from its key alone, so the result does not depend on where it is computed. A page fits in a row; its orders are drawn in whole arrays and nothing but sums of cells leaves a task.
+    """
+    code = lambda c: (F.ascii(c) - 97).cast("byte")
+    rows = pairs.groupBy(page).agg(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("pos"), code("a").alias("a"), code("b").alias("b")))).alias("own"))
+    rows = rows.select(F.xxhash64(page).alias("seed"), F.transform("own", lambda x: x["a"]).alias("a"), F.transform("own", lambda x: x["b"]).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((n + 1, 676), np.int64)
+        for batch in batches:
+            for seed, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                x, y = (v.values.to_numpy().astype(np.int16) for v in (a, b))
+                sums[0] += np.bincount(x * 26 + y, minlength=676)
+                rng, step = np.random.Generator(np.random.Philox(key=seed % (1 << 64))), max(1, DRAWN // len(x))
+                for at in range(0, n, step):
+                    k = min(step, n - at)
+                    cells = rng.permuted(np.tile(y, (k, 1)), axis=1) + x * 26 + 676 * np.arange(k, dtype=np.int32)[:, None]
+                    sums[at + 1 : at + 1 + k] += np.bincount(cells.ravel(), minlength=676 * k).reshape(k, 676)
+        rep, cell = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(rep.astype(np.int32)), pa.array((cell // 26).astype(np.int32)), pa.array((cell % 26).astype(np.int32)), pa.array(sums[rep, cell])], ["rep", "a", "b", "n"])
+
+    drawn = rows.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "rep int, a int, b int, n long")  # few bytes, much work
+    return drawn.groupBy("rep", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def paged_permutation_test(pairs: DataFrame, n: int, page: str) -> DataFrame:
+    """permutation_test() by paged_permutations()."""
+    mi = mutual_information(paged_permutations(pairs, n, page), "rep")
+    observed = mi.where("rep = 0").select(F.col("total").cast("long").alias("pairs"), F.col("mi").alias("observed"))
+    high = F.sum(F.when(F.col("mi") >= F.col("observed") - 1e-12, 1).otherwise(0))
+    out = mi.where("rep > 0").crossJoin(observed).groupBy("pairs", "observed").agg(F.avg("mi").alias("null_mean"), F.stddev_samp("mi").alias("null_sd"), ((1 + high) / (1 + F.count("*"))).alias("p"))  # one row
+    return out.withColumn("excess", F.col("observed") - F.col("null_mean"))
+
+
 def conditional_permutation_test(pairs: DataFrame, n: int, strata: tuple[str, ...]) -> DataFrame:
     """The same for the information given the strata."""
     cells = pairs.groupBy(*strata, "a", "b").agg(F.count("*").alias("n"))

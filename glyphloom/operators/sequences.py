@@ -74,10 +74,10 @@ def segment(word: str, cost: dict[str, float], whole: float, longest: int, penal
     return out[::-1]
 
 
-def segment_types(types: DataFrame, pieces: int = 2000, least: int = 20) -> DataFrame:
-    """types: w, n. w, n, parts: distinct words parted by the costs of the most frequent pieces (a table of fixed size)."""
-    known = types.where((F.col("n") >= least) & (F.length("w") >= 2)).orderBy(F.desc("n"), "w").limit(pieces).collect()
-    total = float(sum(r["n"] for r in known)) or 1.0
+def segment_types(types: DataFrame, share: float = 1e-5, least: int = 20) -> DataFrame:
+    """types: w, n. w, n, parts: distinct words parted by the costs of the pieces, words that make up this share of all at least (of which there are 1 / share at most)."""
+    total = float(types.agg(F.sum("n")).first()[0] or 1.0)
+    known = types.where((F.col("n") >= max(least, share * total)) & (F.length("w") >= 2)).collect()
     cost = {r["w"]: -math.log2(r["n"] / total) for r in known}
     longest = max(map(len, cost), default=1)
 
@@ -91,6 +91,12 @@ def segment_types(types: DataFrame, pieces: int = 2000, least: int = 20) -> Data
 
 def aligner_step(pairs: list[tuple[str, str]], table: dict[str, dict[str, float]], most: int = 2) -> tuple[dict[str, dict[str, float]], float]:
     """One round of a monotone aligner: each sign of a source word makes 0 to `most` letters of the target. Returns new probabilities and the log likelihood."""
+    counts, total = aligner_sums(pairs, table, most)
+    return {s: {u: v / sum(c.values()) for u, v in c.items()} for s, c in counts.items()}, total
+
+
+def aligner_sums(pairs: list[tuple[str, str]], table: dict[str, dict[str, float]], most: int) -> tuple[dict[str, dict[str, float]], float]:
+    """Expected counts by sign and letters, and the log likelihood."""
     counts: dict[str, dict[str, float]] = {}
     total = 0.0
     for s, t in pairs:
@@ -118,7 +124,36 @@ def aligner_step(pairs: list[tuple[str, str]], table: dict[str, dict[str, float]
                     u = t[j : j + k]
                     if (p := ahead[i, j] * own.get(u, 1e-9) * behind[i + 1, j + k] / z) > 1e-12:
                         c[u] = c.get(u, 0.0) + p
-    return {s: {u: v / sum(c.values()) for u, v in c.items()} for s, c in counts.items()}, total
+    return counts, total
+
+
+def learn_aligner_rows(rows: DataFrame, rounds: int = 15, most: int = 2) -> dict[str, str]:
+    """The same from rows s, t, n of any number: counts are made where the rows are, the table (signs by strings of letters) is all that is collected and sent."""
+    signs = [r[0] for r in rows.select(F.explode(F.split("s", ""))).distinct().collect() if r[0]]
+    letters = [r[0] for r in rows.select(F.explode(F.split("t", ""))).distinct().collect() if r[0]]
+    seen = ["", *sorted(letters), *sorted(a + b for a in letters for b in letters)] if most > 1 else ["", *sorted(letters)]
+    table = {s: {u: 1.0 / len(seen) / (4 if u == "" else 1) for u in seen} for s in sorted(signs)}
+    for _ in range(rounds):
+
+        def count(frames: Iterator[pd.DataFrame], now=table) -> Iterator[pd.DataFrame]:
+            sums: dict[tuple[str, str], float] = {}
+            for f in frames:
+                for s, t, n in zip(f["s"], f["t"], f["n"]):
+                    for (sign, u), v in aligner_counts(s, t, now, most).items():
+                        sums[sign, u] = sums.get((sign, u), 0.0) + n * v
+            yield pd.DataFrame([(s, u, v) for (s, u), v in sums.items()], columns=["sign", "u", "v"])
+
+        counts: dict[str, dict[str, float]] = {}
+        for r in rows.mapInPandas(count, "sign string, u string, v double").groupBy("sign", "u").agg(F.sum("v").alias("v")).collect():
+            counts.setdefault(r["sign"], {})[r["u"]] = r["v"]
+        table = {s: {u: v / sum(c.values()) for u, v in c.items()} for s, c in counts.items()}
+    return {s: max(sorted(u), key=lambda v: (round(u[v], 9), -len(v))) for s, u in table.items()}
+
+
+def aligner_counts(s: str, t: str, table: dict[str, dict[str, float]], most: int) -> dict[tuple[str, str], float]:
+    """Expected counts of (sign, letters) over all monotone alignments of one pair."""
+    new, _ = aligner_sums([(s, t)], table, most)
+    return {(sign, u): v for sign, c in new.items() for u, v in c.items()}
 
 
 def learn_aligner(pairs: list[tuple[str, str]], rounds: int = 15, most: int = 2) -> dict[str, str]:
@@ -159,11 +194,10 @@ def cost_of(text: np.ndarray, key: np.ndarray, costs: np.ndarray) -> float:
     return float(costs[plain[:-1], plain[1:]].sum())
 
 
-def anneal(text: np.ndarray, costs: np.ndarray, seed: int, evaluations: int = 3000, hot: float = 20.0, cold: float = 0.2) -> tuple[float, np.ndarray]:
-    """Search of a substitution key by exchanges, with a falling temperature; one restart."""
+def anneal(pairs: np.ndarray, costs: np.ndarray, seed: int, evaluations: int = 3000, hot: float = 20.0, cold: float = 0.2) -> tuple[float, np.ndarray]:
+    """Search of a substitution key by exchanges, with a falling temperature; one restart. pairs: how often each two signs follow one another, so an evaluation costs 676 steps however long the text; temperatures are for 200 pairs and grow with them."""
     rng = np.random.default_rng(seed)
-    pairs = np.zeros((26, 26), np.int64)
-    np.add.at(pairs, (text[:-1], text[1:]), 1)  # evaluations then cost 676 steps whatever the text
+    scale = pairs.sum() / 200
     value = lambda k: float((pairs * costs[np.ix_(k, k)]).sum())
     key = rng.permutation(26)
     now = value(key)
@@ -172,7 +206,7 @@ def anneal(text: np.ndarray, costs: np.ndarray, seed: int, evaluations: int = 30
         i, j = rng.integers(0, 26, 2)
         key[[i, j]] = key[[j, i]]
         new = value(key)
-        heat = hot * (cold / hot) ** (t / evaluations)
+        heat = scale * hot * (cold / hot) ** (t / evaluations)
         if new <= now or rng.random() < math.exp((now - new) / heat):
             now = new
             if now < best - 1e-9:

@@ -62,15 +62,16 @@ def mi_frequency_decomposition(spark, d):
     return I.information_by_bin(cells, bins).select("bin", "pairs", F.round("mi", 8).alias("mi"))
 
 
-@query("SELECT CAST(0.0 AS DOUBLE) AS residual")
+@query(f"""WITH {TOK}, c1 AS (SELECT w AS a, doc_id AS b, count(*) AS n FROM tok GROUP BY ALL), c2 AS (SELECT w AS a, lang AS b, count(*) AS n FROM tok GROUP BY ALL), c3 AS (SELECT lang, w AS a, doc_id AS b, count(*) AS n FROM tok GROUP BY ALL), p AS ({mi_sql('c1')}), s AS ({mi_sql('c2')}), i AS (SELECT sum(total * mi) / sum(total) AS mi FROM ({mi_sql('c3', 'lang')}))
+SELECT round(p.mi, 7) AS page, round(s.mi, 7) AS section, round(i.mi, 7) AS inner_, abs(round(p.mi - s.mi - i.mi, 6)) AS residual FROM p, s, i""")
 def chain_rule_residual(spark, d):
-    """I(w; page) less I(w; section) less I(w; page | section): 0 if a page is of one section."""
-    tok = toks(spark, d, "lang")
-    page = I.mutual_information(tok.groupBy(F.col("w").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))).select(F.col("mi").alias("page"))
-    section = I.mutual_information(tok.groupBy(F.col("w").alias("a"), F.col("lang").alias("b")).agg(F.count("*").alias("n"))).select(F.col("mi").alias("section"))
-    inner = I.conditional_information(tok.groupBy("lang", F.col("w").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n")), "lang")
-    out = page.crossJoin(section).crossJoin(inner)  # one row each
-    return out.select((F.abs(F.round(F.col("page") - F.col("section") - F.col("cmi"), 6)) + 0.0).alias("residual"))
+    """I(w; page), I(w; section), I(w; page | section), and what the first differs from the others' sum by: nothing if a page is of one section."""
+    cells = toks(spark, d, "lang").groupBy("lang", F.col("w").alias("a"), F.col("doc_id").alias("b")).agg(F.count("*").alias("n"))
+    page = I.mutual_information(cells.groupBy("a", "b").agg(F.sum("n").alias("n"))).select(F.col("mi").alias("page"))
+    section = I.mutual_information(cells.groupBy("a", F.col("lang").alias("b")).agg(F.sum("n").alias("n"))).select(F.col("mi").alias("section"))
+    out = page.crossJoin(section).crossJoin(I.conditional_information(cells, "lang"))  # one row each
+    residual = F.abs(F.round(F.col("page") - F.col("section") - F.col("cmi"), 6)) + 0.0
+    return out.select(F.round("page", 7).alias("page"), F.round("section", 7).alias("section"), F.round("cmi", 7).alias("inner_"), residual.alias("residual"))
 
 
 def null_sql(pairs: str, strata: str, reps: int, key: str) -> str:
@@ -81,7 +82,7 @@ l AS (SELECT rep, {s}a, row_number() OVER (PARTITION BY rep, {strata} ORDER BY p
 c AS (SELECT rep, {s}a, b, count(*) AS n FROM l JOIN r USING (rep, {s}k) GROUP BY ALL)"""
 
 
-REPS = 10
+REPS = 20
 
 
 @query(f"""WITH {TOK}, {EDGE}, conv AS (SELECT doc_id, pos, a, b FROM edge), {null_sql('conv', 'doc_id', REPS, "concat_ws('|', rep, doc_id, pos)")}, cn AS (SELECT rep, a, b, sum(n) AS n FROM c GROUP BY ALL), nul AS ({mi_sql('cn', 'rep')}), co AS (SELECT a, b, count(*) AS n FROM conv GROUP BY ALL), obs AS ({mi_sql('co')})
@@ -92,6 +93,15 @@ def edge_coupling_null(spark, d):
     return out.select("pairs", *(F.round(c, 7).alias(c) for c in ("observed", "null_mean", "excess", "p")))
 
 
+TEST_REPS = 299
+
+
+@query()
+def edge_coupling_test(spark, d):
+    """The same with 299 replicates drawn in whole arrays; p can be as small as 1/300. Its random orders are not SQL's."""
+    return R.paged_permutation_test(edges(spark, d), TEST_REPS, "doc_id")
+
+
 @query(f"""WITH {TURN}, conv AS (SELECT conv_id, turn * 100000 + pos AS pos, right(w, 1) AS a, left(nxt, 1) AS b FROM (SELECT conv_id, turn, pos, w, lead(w) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS nxt FROM ttok) WHERE nxt IS NOT NULL), {null_sql('conv', 'conv_id', REPS, "concat_ws('|', rep, conv_id, pos)")}, cs AS (SELECT rep * 10000000 + conv_id AS s, a, b, n FROM c), nul AS (SELECT s // 10000000 AS rep, sum(total * mi) / sum(total) AS mi FROM ({mi_sql('cs', 's')}) GROUP BY 1), co AS (SELECT conv_id, a, b, count(*) AS n FROM conv GROUP BY ALL), obs AS (SELECT sum(total) AS total, sum(total * mi) / sum(total) AS mi FROM ({mi_sql('co', 'conv_id')}))
 SELECT CAST(max(obs.total) AS BIGINT) AS pairs, round(max(obs.mi), 7) AS observed, round(avg(nul.mi), 7) AS null_mean, round(max(obs.mi) - avg(nul.mi), 7) AS excess, round((1 + sum(CASE WHEN nul.mi >= obs.mi - 1e-12 THEN 1 ELSE 0 END)) / CAST(1 + count(*) AS DOUBLE), 7) AS p FROM nul, obs""")
 def page_association_null(spark, d):
@@ -141,43 +151,54 @@ def lag_repeat_rates(spark, d):
     return out.groupBy("lang", "x.k").agg(F.count("*").alias("pairs"), F.round(F.avg("x.hit"), 9).alias("rate"))
 
 
-@query("""WITH e AS (SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
-x AS (SELECT user_id, s, lag(s, 1) OVER q AS l1, lag(s, 2) OVER q AS l2, lag(s, 4) OVER q AS l4, count(s) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS c1, count(s) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c2, count(s) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c4 FROM e WINDOW q AS (PARTITION BY user_id ORDER BY pos))
-SELECT CAST(k AS INTEGER) AS k, count(*) AS pairs, round(avg(hit), 9) AS rate FROM (SELECT 1 AS k, CASE WHEN s = l1 THEN 1.0 ELSE 0.0 END AS hit FROM x WHERE c1 = 2 UNION ALL SELECT 2, CASE WHEN s = l2 THEN 1.0 ELSE 0.0 END FROM x WHERE c2 = 3 UNION ALL SELECT 4, CASE WHEN s = l4 THEN 1.0 ELSE 0.0 END FROM x WHERE c4 = 5) GROUP BY k""")
+EVENTS = "e AS (SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)"
+
+
+@query(f"WITH {EVENTS}, x AS (" + " UNION ALL ".join(f"SELECT {k} AS k, s = lag(s, {k}) OVER (PARTITION BY user_id ORDER BY pos) AS hit, count(s) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) = {k + 1} AS ok FROM e" for k in LAGS) + ") SELECT CAST(k AS INTEGER) AS k, count(*) AS pairs, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 9) AS rate FROM x WHERE ok GROUP BY k")
 def lag_gap_aware(spark, d):
     """A pair counts only if all symbols from one to the other are readable; errors are not."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = V.read(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("s"))
     pair = lambda k: F.when(F.count("s").over(order.rowsBetween(-k, 0)) == k + 1, (F.col("s") == F.lag("s", k).over(order)).cast("double"))
-    rows = e.select(*(pair(k).alias(f"l{k}") for k in (1, 2, 4)))
-    out = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("hit")) for k in (1, 2, 4)))).alias("x")).where("x.hit is not null")
+    rows = e.select(*(pair(k).alias(f"l{k}") for k in LAGS))
+    out = rows.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"l{k}").alias("hit")) for k in LAGS))).alias("x")).where("x.hit is not null")
     return out.groupBy("x.k").agg(F.count("*").alias("pairs"), F.round(F.avg("x.hit"), 9).alias("rate"))
 
 
-CTX = f"""ty AS (SELECT w, count(*) AS n FROM tok GROUP BY w), top AS (SELECT w FROM ty ORDER BY n DESC, w LIMIT 40), vec AS (SELECT w AS item, f AS feature, CAST(count(*) AS DOUBLE) AS value FROM (
+CTX = f"""ty AS (SELECT w, count(*) AS n FROM tok GROUP BY w), top AS (SELECT w FROM ty WHERE n >= 10 AND length(w) >= 2), vec AS (SELECT w AS item, f AS feature, CAST(count(*) AS DOUBLE) AS value FROM (
  SELECT w, 'L' || coalesce(left(lag(w) OVER q, 2), '^') AS f FROM tok WINDOW q AS (PARTITION BY doc_id ORDER BY pos) UNION ALL SELECT w, 'R' || coalesce(left(lead(w) OVER q, 2), '$') FROM tok WINDOW q AS (PARTITION BY doc_id ORDER BY pos)) WHERE w IN (SELECT w FROM top) GROUP BY ALL)"""
 
 
 def context_vectors(spark, d):
-    """Of the 40 most frequent words: counts of the first two letters of their neighbours."""
+    """Of every word that occurs ten times or more: counts of the first two letters of its neighbours."""
     tok, q = toks(spark, d), V.within("doc_id")
-    top = V.types(tok).orderBy(F.desc("n"), "w").limit(40).select("w")  # a top-k report
+    often = V.types(tok).where("n >= 10 and length(w) >= 2").select("w")
     sides = F.array(F.concat(F.lit("L"), F.coalesce("l", F.lit("^"))), F.concat(F.lit("R"), F.coalesce("r", F.lit("$"))))
-    rows = tok.select("w", F.lag(F.expr("left(w, 2)")).over(q).alias("l"), F.lead(F.expr("left(w, 2)")).over(q).alias("r")).join(F.broadcast(top), "w", "left_semi")  # 40 rows
-    return rows.select(F.col("w").alias("item"), F.explode(sides).alias("feature")).groupBy("item", "feature").agg(F.count("*").cast("double").alias("value"))
+    rows = tok.select("w", F.lag(F.expr("left(w, 2)")).over(q).alias("l"), F.lead(F.expr("left(w, 2)")).over(q).alias("r")).groupBy("w", "l", "r").agg(F.count("*").alias("n"))
+    return rows.join(often, "w", "left_semi").select(F.col("w").alias("item"), "n", F.explode(sides).alias("feature")).groupBy("item", "feature").agg(F.sum("n").cast("double").alias("value"))
 
 
-@query(f"""WITH {TOK}, {CTX}, nm AS (SELECT item, sqrt(sum(value * value)) AS nm FROM vec GROUP BY item) SELECT x.item AS a, y.item AS b, round(sum(x.value * y.value) / max(p.nm * q.nm), 8) AS cosine FROM vec x JOIN vec y ON x.feature = y.feature AND x.item < y.item JOIN nm p ON p.item = x.item JOIN nm q ON q.item = y.item GROUP BY ALL""")
+STEM = "left({0}.item, length({0}.item) - 1)"
+
+
+@query(f"""WITH {TOK}, {CTX}, nm AS (SELECT item, sqrt(sum(value * value)) AS nm FROM vec GROUP BY item) SELECT x.item AS a, y.item AS b, round(sum(x.value * y.value) / max(p.nm * q.nm), 8) AS cosine FROM vec x JOIN vec y ON x.feature = y.feature AND {STEM.format('x')} = {STEM.format('y')} AND x.item < y.item JOIN nm p ON p.item = x.item JOIN nm q ON q.item = y.item GROUP BY ALL""")
 def context_cosine_pairs(spark, d):
-    return I.cosine(context_vectors(spark, d)).select("a", "b", F.round("cosine", 8).alias("cosine"))
+    """Cosines of the contexts of every two frequent words that differ in their last letter; a stem has at most 26 of them."""
+    return I.cosine(of_stems(context_vectors(spark, d)), feature="own").select("a", "b", F.round("cosine", 8).alias("cosine"))
+
 
+def of_stems(vectors):
+    """Features within the stem, so that words of one stem alone meet."""
+    return vectors.withColumn("own", F.concat(F.expr("left(item, length(item) - 1)"), F.lit(" "), "feature"))
 
-@query(f"""WITH {TOK}, {CTX}, sh AS (SELECT item, feature, value / sum(value) OVER (PARTITION BY item) AS p FROM vec), fs AS (SELECT DISTINCT feature FROM vec), al AS (SELECT i.item, f.feature, coalesce(sh.p, 0.0) AS p FROM (SELECT DISTINCT item FROM vec) i CROSS JOIN fs f LEFT JOIN sh ON sh.item = i.item AND sh.feature = f.feature)
-SELECT x.item AS a, y.item AS b, round(sum(CASE WHEN x.p > 0 THEN 0.5 * x.p * log2(2 * x.p / (x.p + y.p)) ELSE 0 END + CASE WHEN y.p > 0 THEN 0.5 * y.p * log2(2 * y.p / (x.p + y.p)) ELSE 0 END), 7) AS js FROM al x JOIN al y ON x.feature = y.feature AND x.item < y.item GROUP BY ALL""")
+
+@query(f"""WITH {TOK}, {CTX}, sh AS (SELECT item, left(item, length(item) - 1) AS stem, feature, value / sum(value) OVER (PARTITION BY item) AS p FROM vec), fs AS (SELECT DISTINCT stem, feature FROM sh), al AS (SELECT i.item, f.stem, f.feature, coalesce(sh.p, 0.0) AS p FROM (SELECT DISTINCT item, stem FROM sh) i JOIN fs f ON f.stem = i.stem LEFT JOIN sh ON sh.item = i.item AND sh.feature = f.feature)
+SELECT x.item AS a, y.item AS b, round(sum(CASE WHEN x.p > 0 THEN 0.5 * x.p * log2(2 * x.p / (x.p + y.p)) ELSE 0 END + CASE WHEN y.p > 0 THEN 0.5 * y.p * log2(2 * y.p / (x.p + y.p)) ELSE 0 END), 7) AS js FROM al x JOIN al y ON x.stem = y.stem AND x.feature = y.feature AND x.item < y.item GROUP BY ALL HAVING sum(CASE WHEN x.p > 0 AND y.p > 0 THEN 1 ELSE 0 END) > 0""")
 def js_divergence_pairs(spark, d):
-    v = context_vectors(spark, d)
-    shares = v.select("item", "feature", (F.col("value") / F.sum("value").over(Window.partitionBy("item"))).alias("p"))
-    return I.jensen_shannon(shares).select("a", "b", F.round("js", 7).alias("js"))
+    """The same pairs, those that share a context, by Jensen-Shannon divergence."""
+    v = of_stems(context_vectors(spark, d))
+    shares = v.select("item", "own", (F.col("value") / F.sum("value").over(Window.partitionBy("item"))).alias("p"))
+    return I.jensen_shannon(shares, feature="own").select("a", "b", F.round("js", 7).alias("js"))
 
 
 @query(f"""WITH {TOK}, {CTX}, c AS (SELECT item AS a, feature AS b, value AS n FROM vec), ra AS (SELECT a, sum(n) AS na FROM c GROUP BY a), rb AS (SELECT b, sum(n) AS nb FROM c GROUP BY b), t AS (SELECT sum(n) AS total FROM c)
@@ -375,32 +396,33 @@ def caesar_enumeration(spark, d):
     return b.select("item_id", F.posexplode(F.array(*(T.caesar(F.col("t"), s) for s in range(26)))).alias("shift", "shifted"))
 
 
-CODES = ("a", "ab", "b", "bc", "cab", "ca", "d", "de", "def", "x", "xy", "yx")
-
-
-@query(f"WITH c AS (SELECT unnest({list(CODES)}) AS code) SELECT a.code AS prefix, b.code AS code FROM c a JOIN c b ON a.code <> b.code AND starts_with(b.code, a.code)")
+@query("WITH c AS (SELECT DISTINCT lower(left(n_name, 1 + n_nationkey % 4)) AS code FROM nation) SELECT a.code AS prefix, b.code AS code FROM c a JOIN c b ON a.code <> b.code AND starts_with(b.code, a.code)")
 def prefix_free_violations(spark, d):
-    """Codes that begin another: each code's own beginnings are looked up by equality."""
-    c = spark.createDataFrame([(x,) for x in CODES], "code string")
+    """Codes, the beginnings of names, that begin another: each code's own beginnings are looked up by equality."""
+    c = V.read(spark, d, "nation").select(F.lower(F.expr("left(n_name, 1 + n_nationkey % 4)")).alias("code")).distinct()
     begins = c.select("code", F.explode(F.expr("transform(sequence(1, length(code)), k -> substring(code, 1, k))")).alias("prefix")).where("prefix <> code")
     return begins.join(c.select(F.col("code").alias("prefix")), "prefix").select("prefix", "code")
 
 
-@query("""WITH RECURSIVE c AS (SELECT CAST('' AS VARCHAR) AS choice, 0 AS k UNION ALL SELECT choice || t, k + 1 FROM c, (SELECT unnest(['0', '1', '2']) AS t) WHERE k < 5) SELECT choice, CAST((CAST(choice[1] AS INT) + CAST(choice[2] AS INT) + CAST(choice[3] AS INT) + CAST(choice[4] AS INT) + CAST(choice[5] AS INT)) % 3 AS INTEGER) AS state FROM c WHERE k = 5""")
+@query("""WITH RECURSIVE p AS (SELECT list(length(r_name) ORDER BY r_regionkey) AS ls FROM region), c AS (SELECT CAST('' AS VARCHAR) AS choice, 0 AS k, 0 AS s FROM p UNION ALL SELECT choice || t, k + 1, s + CAST(t AS INT) * ls[k + 1] FROM c, p, (SELECT unnest(['0', '1', '2']) AS t) WHERE k < len(ls)) SELECT choice, CAST(s % 7 AS INTEGER) AS state FROM c, p WHERE k = len(ls)""")
 def page_choice_enumeration(spark, d):
-    """All choices of one of three tables for five pages, and the state that coupled choices end in: a number's digits, so no product of tables is needed."""
-    digit = lambda k: F.floor(F.col("id") / 3**k) % 3
-    return spark.range(3**5).select(F.concat(*(digit(k).cast("string") for k in range(5))).alias("choice"), (sum((digit(k) for k in range(1, 5)), digit(0)) % 3).cast("int").alias("state"))
+    """All choices of one of three tables for each page (a region), and the state that the choices, weighted by the pages' lengths, end in. A choice is a number in base three, so no product of tables is needed."""
+    pages = V.read(spark, d, "region").agg(F.transform(F.sort_array(F.collect_list(F.struct("r_regionkey", F.length("r_name").alias("n")))), lambda x: x["n"]).alias("ls"))  # five rows
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(3), F.size("ls")).cast("long") - 1))
+    digits = F.transform(F.sequence(F.lit(0), F.size("ls") - 1), lambda k: (F.floor(F.col("id") / F.pow(F.lit(3), k)) % 3).cast("int"))
+    rows = pages.select("ls", each.alias("id")).select("ls", digits.alias("ds"))
+    total = F.aggregate(F.zip_with("ds", "ls", lambda x, n: x * n), F.lit(0), lambda a, x: a + x)
+    return rows.select(F.array_join(F.transform("ds", lambda x: x.cast("string")), "").alias("choice"), (total % 7).alias("state"))
 
 
-@query(f"""WITH k AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS i, unnest(['e','t','a','o','i','n','s','r']) AS u) SELECT a.i AS i, b.i AS j, b.u AS new_i, a.u AS new_j FROM k a JOIN k b ON a.i < b.i""")
+@query("""WITH c AS (SELECT item_id, lower(text) AS t, unnest(range(1, length(text) + 1)) AS i FROM benchmark), f AS (SELECT substr(t, i, 1) AS u, count(*) AS n FROM c WHERE regexp_matches(substr(t, i, 1), '^[a-z]$') GROUP BY 1), k AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, u) AS INTEGER) AS i, u FROM f) SELECT a.i AS i, b.i AS j, b.u AS new_i, a.u AS new_j FROM k a JOIN k b ON a.i < b.i""")
 def neighbourhood_moves(spark, d):
-    """Every exchange of two units of a key."""
-    key = [*"etaoinsr"]
-    k = spark.createDataFrame([(i + 1, u) for i, u in enumerate(key)], "i int, u string")
-    later = F.expr("filter(transform(all, (u, p) -> struct(p + 1 as j, u as u)), x -> x.j > i)")
-    rows = k.withColumn("all", F.array(*(F.lit(u) for u in key)))
-    return rows.select("i", "u", F.explode(later).alias("x")).select("i", F.col("x.j").alias("j"), F.col("x.u").alias("new_i"), F.col("u").alias("new_j"))
+    """Every exchange of two units of the key that orders the passages' letters by frequency."""
+    letters = V.read(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), "")).alias("u")).where(F.col("u").rlike("^[a-z]$")).groupBy("u").agg(F.count("*").alias("n"))
+    key = letters.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "u"))), lambda x: x["u"]).alias("key"))  # 26 letters
+    later = F.expr("filter(transform(key, (u, p) -> struct(p + 1 as j, u as u)), x -> x.j > i + 1)")
+    rows = key.select("key", F.posexplode("key").alias("i", "u")).select("i", "u", F.explode(later).alias("x"))
+    return rows.select((F.col("i") + 1).alias("i"), F.col("x.j").alias("j"), F.col("x.u").alias("new_i"), F.col("u").alias("new_j"))
 
 
 CHARS = "SELECT item_id, regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM benchmark"
@@ -452,18 +474,17 @@ def lopo_cross_entropy(spark, d):
     return l.join(every, "g").join(own, "lang").crossJoin(whole).groupBy("lang").agg(F.sum("n").alias("c"), F.round(F.sum(F.col("n") * -F.log2(p)) / F.sum("n"), 7).alias("bits")).withColumnRenamed("c", "n")
 
 
-@query("""WITH b AS (SELECT item_id, lower(text) AS t FROM benchmark), x AS (SELECT item_id, substr(t, 1, 200) AS a, substr(replace(t, 'th', 't'), 1, 200) AS b FROM b WHERE regexp_full_match(t, '[ -~\\n]*')) SELECT item_id, CAST(levenshtein(a, b) AS INTEGER) AS distance, round(levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE), 9) AS rate FROM x""")
+@query("""WITH x AS (SELECT item_id, regexp_replace(lower(text), '[^ -~\n]', '#', 'g') AS a FROM benchmark), y AS (SELECT item_id, a, replace(a, 'th', 't') AS b FROM x) SELECT item_id, CAST(levenshtein(a, b) AS INTEGER) AS distance, round(levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE), 9) AS rate FROM y""")
 def char_error_rate(spark, d):
-    """Edit distance of the first 200 characters of each ASCII passage to a reading of it that writes th as t."""
-    t = F.lower("text")
-    x = V.read(spark, d, "benchmark").where(t.rlike(r"^[ -~\n]*$")).select("item_id", F.substring(t, 1, 200).alias("a"), F.substring(F.replace(t, F.lit("th"), F.lit("t")), 1, 200).alias("b"))
+    """Edit distance of each whole passage to a reading of it that writes th as t; characters beyond ASCII count as one symbol."""
+    x = V.read(spark, d, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), r"[^ -~\n]", "#").alias("a")).withColumn("b", F.replace("a", F.lit("th"), F.lit("t")))
     e = F.levenshtein("a", "b")
     return x.select("item_id", e.alias("distance"), F.round(e / F.greatest(F.length("a"), F.length("b")), 9).alias("rate"))
 
 
-@query(f"""WITH {TURN}, s AS (SELECT conv_id, role, turn * 10 AS a, turn * 10 + least(len(ws), 15) AS b FROM turns) SELECT x.conv_id, x.role AS role_a, y.role AS role_b, count(*) AS overlaps FROM s x JOIN s y ON x.conv_id = y.conv_id AND x.role < y.role AND greatest(x.a, y.a) < least(x.b, y.b) GROUP BY ALL""")
+@query(f"""WITH {TURN}, s AS (SELECT conv_id, role, turn * 10 AS a, turn * 10 + len(ws) AS b FROM turns) SELECT x.conv_id, x.role AS role_a, y.role AS role_b, count(*) AS overlaps FROM s x JOIN s y ON x.conv_id = y.conv_id AND x.role < y.role AND greatest(x.a, y.a) < least(x.b, y.b) GROUP BY ALL""")
 def span_overlap_across_roles(spark, d):
-    s = V.read(spark, d, "conversations").select("conv_id", "role", (F.col("turn") * 10).alias("a"), (F.col("turn") * 10 + F.least(F.size(T.words(F.col("text"))), F.lit(15))).alias("b"))
+    s = V.read(spark, d, "conversations").select("conv_id", "role", (F.col("turn") * 10).alias("a"), (F.col("turn") * 10 + F.size(T.words(F.col("text")))).alias("b"))
     x, y = s.select("conv_id", F.col("role").alias("role_a"), F.col("a").alias("a1"), F.col("b").alias("b1")), s.select("conv_id", F.col("role").alias("role_b"), F.col("a").alias("a2"), F.col("b").alias("b2"))
     return x.join(y, "conv_id").where("role_a < role_b and greatest(a1, a2) < least(b1, b2)").groupBy("conv_id", "role_a", "role_b").agg(F.count("*").alias("overlaps"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from ..operators import codecs as C
 from ..operators import sequences as S
 from ..operators import views as V
 from ..sources import markup
+from ..sources.sinks import shared_folder
 from ..streaming import events as E
 from .profiles import toks
 from .registry import TOK, UNIFORM, query
@@ -54,13 +57,13 @@ def line_clock_phases(spark, d):
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_tumbling_counts(spark, d):
-    out = E.run_to_end(E.tumbling(E.event_stream(spark, f"{d}/events.parquet")))
+    out = E.run_to_end(E.tumbling(E.event_stream(spark, f"{d}/events.parquet")), shared_folder(spark), "start", "event_type")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT date_trunc('hour', ts) - h * INTERVAL 1 HOUR AS start, event_type, count(*) AS n FROM events, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS h) GROUP BY ALL")
 def stream_sliding_counts(spark, d):
-    out = E.run_to_end(E.sliding(E.event_stream(spark, f"{d}/events.parquet")))
+    out = E.run_to_end(E.sliding(E.event_stream(spark, f"{d}/events.parquet")), shared_folder(spark), "start", "event_type")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
@@ -70,6 +73,75 @@ def event_sessions(spark, d):
     return E.sessions(e).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
+SHIFTS = """fl AS (SELECT substr(w, i, 1) AS c, sum(n) AS n FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM (SELECT w, count(*) AS n FROM tok GROUP BY w)) GROUP BY 1), cost AS (SELECT c, -log2(n / CAST((SELECT sum(n) FROM fl) AS DOUBLE)) AS bits FROM fl),
+bl AS (SELECT substr(t, i, 1) AS c, count(*) AS n FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT regexp_replace(lower(text), '[^a-z]', '', 'g') AS t FROM benchmark)) GROUP BY 1),
+att AS (SELECT s, sum(bl.n * coalesce(cost.bits, 30)) AS loss FROM bl CROSS JOIN (SELECT CAST(unnest(range(26)) AS INTEGER) AS s) LEFT JOIN cost ON cost.c = chr(97 + (ascii(bl.c) - 97 + s) % 26) GROUP BY s)"""
+
+
+class Shifts:
+    """Proposes the shifts 0 to 25 in order."""
+
+    def __init__(self) -> None:
+        self.next = 0
+
+    def propose(self, n: int) -> list[str]:
+        first, self.next = self.next, min(26, self.next + n)
+        return [str(k) for k in range(first, self.next)]
+
+    def observe(self, losses: list[tuple[str, float]]) -> None:
+        pass
+
+    def snapshot(self) -> dict:
+        return {"next": self.next}
+
+    def restore(self, snapshot: dict) -> None:
+        self.next = snapshot["next"]
+
+
+def shift_losses(spark, d):
+    """Candidates' losses: bits of all passages' letters, moved by the shift, under the documents' letter frequencies."""
+    ty = V.types(toks(spark, d))
+    fl = ty.select("n", F.explode(F.split("w", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
+    cost = fl.crossJoin(fl.agg(F.sum("n").cast("double").alias("total"))).select("c", (-F.log2(F.col("n") / F.col("total"))).alias("bits"))  # one row
+    letters = V.read(spark, d, "benchmark").select(F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "")).alias("b")).where("b <> ''").groupBy("b").agg(F.count("*").alias("n"))
+
+    def evaluate(rows):
+        moved = rows.crossJoin(F.broadcast(letters)).withColumn("c", F.char(97 + (F.ascii("b") - 97 + F.col("candidate_id").cast("int")) % 26))  # 26 letters
+        return moved.join(F.broadcast(cost), "c", "left").groupBy("sequence", "candidate_id").agg(F.sum(F.col("n") * F.coalesce("bits", F.lit(30.0))).alias("loss"))
+
+    return evaluate
+
+
+def searched(spark, d) -> E.Registry:
+    """A registry with one search over shifts, left off after two batches and taken up again."""
+    registry = E.Registry(spark, f"{shared_folder(spark)}/lab-{uuid.uuid4().hex}")
+    run = registry.register("shift", {"alphabet": C.LETTERS})
+    evaluate = shift_losses(spark, d)
+    E.run_search(registry, run, Shifts(), evaluate, 100, batch=7, pause_after=2)
+    E.run_search(registry, run, Shifts(), evaluate, 100, batch=7)
+    return registry
+
+
+@query(f"WITH {TOK}, {SHIFTS} SELECT CAST(s AS BIGINT) AS sequence, CAST(s // 7 AS BIGINT) AS batch, CAST(s AS VARCHAR) AS candidate_id, round(loss, 4) AS loss FROM att")
+def runner_attempts(spark, d):
+    """The attempts of a search that was left off and taken up again: as of one that never stopped."""
+    return searched(spark, d).attempts().select("sequence", "batch", "candidate_id", F.round("loss", 4).alias("loss"))
+
+
+@query(f"WITH {TOK}, {SHIFTS} SELECT CAST(s AS VARCHAR) AS candidate_id, round(loss, 4) AS loss FROM att ORDER BY att.loss, candidate_id LIMIT 5")
+def runner_retained(spark, d):
+    return E.retained(searched(spark, d).attempts(), 5, 4).where("kept = 'top'").select("candidate_id", F.round("loss", 4).alias("loss"))
+
+
+@query("SELECT 'shift' AS family, 4 AS batches, 'exhausted' AS stop_reason, count(*) AS shifts FROM (SELECT unnest(range(26)) FROM region WHERE r_regionkey = 0)")
+def runner_states(spark, d):
+    """How the search ended, by the registry's runs, specifications, states and attempts."""
+    r = searched(spark, d)
+    last = r.states().groupBy("run_id").agg(F.max_by("stop_reason", "at").alias("stop_reason"))
+    own = r.attempts().groupBy("run_id").agg(F.countDistinct("batch").cast("int").alias("batches"), F.count("*").alias("shifts"))
+    return r.list().join(last, "run_id").join(own, "run_id").select("family", "batches", "stop_reason", "shifts")
+
+
 @query("SELECT event_type, count(*) AS n, round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)), 6) AS mean_k FROM events GROUP BY event_type")
 def event_props(spark, d):
     return V.read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(F.get_json_object("props", "$.k").cast("double")), 6).alias("mean_k"))
@@ -107,10 +179,9 @@ def viterbi_segments(spark, d):
 
 @query()
 def em_aligner(spark, d):
-    """Signs of a substitution with one sign of two letters, learned back from pairs of words."""
-    rows = V.types(toks(spark, d)).where("length(w) between 4 and 7").orderBy(F.desc("n"), "w").limit(300).collect()  # a bounded sample to learn from
-    pairs = [(r["w"].replace("th", "9").translate(str.maketrans(C.LETTERS, KEY)), r["w"]) for r in rows]
-    return spark.createDataFrame(sorted(S.learn_aligner(pairs, 8).items()), "sign string, letters string")
+    """Signs of a substitution with one sign of two letters, learned back from all distinct words with their frequencies."""
+    rows = V.types(toks(spark, d)).select(F.translate(F.replace("w", F.lit("th"), F.lit("9")), C.LETTERS, KEY).alias("s"), F.col("w").alias("t"), "n")
+    return spark.createDataFrame(sorted(S.learn_aligner_rows(rows, 4).items()), "sign string, letters string")
 
 
 def letter_pairs(spark, d):
@@ -122,11 +193,14 @@ def letter_pairs(spark, d):
 
 @query()
 def annealing_search(spark, d):
-    """Restarts of a key search, one group each."""
+    """Restarts of a key search over all passages, one group each; a search sees how often each two signs follow one another."""
     costs = letter_pairs(spark, d)
-    first = V.read(spark, d, "benchmark").agg(F.min_by("text", "item_id").alias("t")).first()["t"]
-    text = np.array([ord(c) - 97 for c in first.lower() if "a" <= c <= "z"])
-    cipher = np.array([ord(c) - 97 for c in KEY])[text]
+    t = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), C.LETTERS, KEY)
+    texts = V.read(spark, d, "benchmark").select(t.alias("t")).where("length(t) > 1")
+    twos = texts.select(F.explode(F.expr("transform(sequence(1, length(t) - 1), i -> substring(t, i, 2))")).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()  # 26 * 26 at most
+    cipher = np.zeros((26, 26), np.int64)
+    for r in twos:
+        cipher[ord(r["p"][0]) - 97, ord(r["p"][1]) - 97] = r["n"]
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         loss, key = S.anneal(cipher, costs, int(f["restart"].iloc[0]))
@@ -146,7 +220,7 @@ def beam_decode(spark, d):
         for f in frames:
             out = []
             for k, t in zip(f["item_id"], f["t"]):
-                plain = [ord(c) - 97 for c in t[:200]]
+                plain = [ord(c) - 97 for c in t]
                 cost, got = S.beam_decode([p % 13 for p in plain], choices, costs) if plain else (0.0, [])
                 out.append((k, cost, float(np.mean([x == y for x, y in zip(plain, got)])) if plain else 0.0))
             yield pd.DataFrame(out, columns=["item_id", "cost", "accuracy"])

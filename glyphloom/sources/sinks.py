@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: that of spark.checkpoint.dir, or, within one machine, one of its own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="glyphloom-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
 def write_csv(frames: list[DataFrame], path: str) -> None:
     """One CSV table with the sorted union of the frames' columns."""
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

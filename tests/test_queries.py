@@ -21,4 +21,4 @@ def test_query(spark, con, name):
     if sql is None:
         assert df.count() > 0
     else:
-        assert differences(df, sql, con) in ("",) or differences(df, sql, con).startswith("close")
+        assert differences(df, sql, con) == ""

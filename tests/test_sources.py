@@ -93,12 +93,78 @@ def test_registry(spark, tmp_path):
     assert again != run and r.list("keys").count() == 2 and r.list("other").count() == 0
     assert r.specifications().count() == 1
     rows = spark.createDataFrame([(0, "c", 1.0), (1, "d", 2.0)], "sequence long, candidate_id string, loss double")
-    r.commit(run, 0, rows)
-    r.commit(run, 0, rows)  # written again after a failure
-    assert r.attempts().count() == 2
+    assert r.commit(run, 0, rows)
+    assert not r.commit(run, 0, rows)  # written again after a failure
+    assert r.commit(again, 0, rows)  # another run's first batch
+    assert r.attempts().count() == 4 and {(x["run_id"], x["batch"]) for x in r.attempts().collect()} == {(run, 0), (again, 0)}
+    for first, batch in ((5, 1), (2, 2), (1, 1)):  # a gap, a batch too far, a sequence that is there
+        with pytest.raises(ValueError):
+            r.commit(run, batch, spark.createDataFrame([(first, "e", 1.0)], "sequence long, candidate_id string, loss double"))
+    with pytest.raises(ValueError):
+        r.commit("none", 0, rows)
+    assert r.commit(run, 1, spark.createDataFrame([(2, "e", 0.5), (3, "c", 0.1)], "sequence long, candidate_id string, loss double"))
+    kept = events.retained(r.attempts().where(F.col("run_id") == run), 2, 5).collect()
+    assert [(k["candidate_id"], k["loss"], k["tries"]) for k in kept if k["kept"] == "top"] == [("c", 0.1, 2), ("e", 0.5, 1)] and [k["candidate_id"] for k in kept if k["kept"] == "reservoir"] == ["d"]
+    with r._locked(), pytest.raises(TimeoutError):
+        events.Registry(spark, str(tmp_path / "lab"), 0.2).record(run, "running")
+    assert len(r.import_legacy("old", [{"manifest": {"k": 1}, "losses": [("a", 1.0), ("b", 2.0)]}])) == 1 and r.list("old").count() == 1
     assert r.get(r.specifications().first()["spec_id"]) == {"seed": 1}
 
 
+class Walk:
+    """A random walk over numbers that goes on from the best."""
+
+    def __init__(self):
+        self.rng, self.best = np.random.default_rng(3), (9e9, 50)
+
+    def propose(self, n):
+        return [str(int(self.best[1] + self.rng.integers(-9, 10))) for _ in range(n)]
+
+    def observe(self, losses):
+        self.best = min([self.best, *((l, int(c)) for c, l in losses)])
+
+    def snapshot(self):
+        return {"rng": self.rng.bit_generator.state, "best": list(self.best)}
+
+    def restore(self, s):
+        self.rng.bit_generator.state, self.best = s["rng"], tuple(s["best"])
+
+
+def test_runner_resumes_as_if_unbroken(spark, tmp_path):
+    evaluate = lambda rows: rows.withColumn("loss", F.abs(F.col("candidate_id").cast("double") - 7.25))
+    found = []
+    for name, pauses in (("whole", (None,)), ("broken", (1, 2, None))):
+        r = events.Registry(spark, str(tmp_path / name))
+        run = r.register("walk", {"seed": 3})
+        for p in pauses:
+            why = events.run_search(r, run, Walk(), evaluate, 22, batch=5, pause_after=p)
+        assert why == "evaluations" and events.run_search(r, run, Walk(), evaluate, 22, batch=5) == "evaluations"
+        found.append(sorted((a["sequence"], a["batch"], a["candidate_id"], a["loss"]) for a in r.attempts().collect()))
+    assert found[0] == found[1] and len(found[0]) == 22
+    r = events.Registry(spark, str(tmp_path / "slow"))
+    assert events.run_search(r, r.register("walk", {}), Walk(), evaluate, 22, seconds=-1.0) == "time"
+
+
+def test_paged_permutations(spark):
+    from glyphloom.operators import resampling
+
+    rng = np.random.default_rng(5)
+    rows = [(p, i, "abc"[x], "xyz"[x if rng.random() < 0.3 else rng.integers(3)]) for p in range(5) for i in range(200) for x in [int(rng.integers(3))]]
+    pairs = spark.createDataFrame(rows, "page int, pos int, a string, b string")
+    one, two = (sorted(map(tuple, resampling.paged_permutations(x, 50, "page").collect())) for x in (pairs, pairs.repartition(7)))
+    assert one == two
+    for page in (0, None):  # letters are kept, page by page and in all
+        part = pairs if page is None else pairs.where(F.col("page") == page)
+        for r in (0, 1, 50):
+            sums = {}
+            for rep, a, b, n in resampling.paged_permutations(part, 50, "page").collect():
+                if rep == r:
+                    sums[b] = sums.get(b, 0) + n
+            assert sums == {x: n for x, n in ((ord(k["b"]) - 97, k["count"]) for k in part.groupBy("b").count().collect())}
+    fast, slow = resampling.paged_permutation_test(pairs, 199, "page").first(), resampling.permutation_test(pairs, 40, ("page",)).first()
+    assert fast["observed"] == pytest.approx(slow["observed"]) and fast["p"] == 1 / 200 and fast["null_mean"] == pytest.approx(slow["null_mean"], rel=0.4)
+
+
 def test_functions(spark):
     df = spark.createDataFrame([("chckhy",), ("qoteedy",), ("a",)], "w string")
     rows = df.select(T.glyphs(F.col("w")).alias("g"), T.stem(F.col("w")).alias("s"), T.stem_family(F.col("w")).alias("f"), T.cuts(F.col("w")).alias("c"), syllables(F.col("w")).alias("y")).collect()
