@@ -8,6 +8,7 @@ from glyphloom.plans.models import syllables
 from glyphloom.sources import markup, sinks, transcription
 from glyphloom.streaming import events
 
+# Literal samples of the format and what they are read as.
 PAGES = """<f1r> <! $H=1 $L=A $I=H>
 <f1r.1,@P0> <%>daiin.chol
 <f1r.2,+P0> or.dal<$>
@@ -48,7 +49,23 @@ def test_pages(spark, tmp_path):
     assert [rows[x]["meta"]["H"] for x in ("f1r.1", "f1r.2", "f1r.3", "f1r.5", "f1v.1")] == ["1", "1", "2", "2", "1"]
     assert rows["f1r.5"]["meta"]["L"] == "A" and rows["f1v.1"]["meta"]["L"] == "B"
     assert rows["f1r.1"]["paragraph_start"] and not rows["f1r.1"]["paragraph_end"] and rows["f1r.2"]["paragraph_end"]
-    assert transcription.read_lines(spark, str(tmp_path / "pages.txt"), None).count() == 6
+    assert transcription.read_lines(spark, str(tmp_path / "pages.txt"), None).count() == transcription.read_lines(spark, str(tmp_path / "pages.txt"), "P").count() == 6
+
+
+def test_records(spark, tmp_path):
+    words, gaps, end = transcription.record_words(F.col("b"))
+    r = spark.createDataFrame([("fa19s.9,hae.A*am.2oe=\r\n",)], "b string").select(words.alias("w"), gaps.alias("g"), end.alias("e")).first()
+    assert [w["word"] for w in r["w"]] == ["fa19s", "9", "hae", "A*am", "2oe"] and [w["clean"] for w in r["w"]] == [True, True, True, False, True]
+    assert (r["g"], r["e"]) == (["ordinary", "uncertain", "ordinary", "ordinary"], "=")
+    names = ["1r", "67r1", "rose", "101r1-r2", "101v2-v1"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select(transcription.record_page(F.col("n")).alias("p")).collect()
+    assert [x["p"] for x in got] == ["f1r", "f67r1", "fRos", "f101r", "f101v"]
+    (tmp_path / "r.txt").write_bytes("<1r.1>fa\xe9.9-\r\n<1r.2>am=\r\n<1r.ring>x=\r\n<1r.3>8am-\r\n<rose.4>o-\r\n".encode("latin-1"))
+    rows = {r["locus"]: r for r in transcription.read_records(spark, str(tmp_path / "r.txt")).collect()}
+    assert [(k, rows[k]["kind"], rows[k]["paragraph_start"], rows[k]["paragraph_end"]) for k in ("f1r.1", "f1r.2", "f1r.ring", "f1r.3", "fRos.4")] == [("f1r.1", "text", True, False), ("f1r.2", "text", False, True), ("f1r.ring", "label", False, False), ("f1r.3", "text", True, False), ("fRos.4", "text", True, False)]
+    assert rows["f1r.1"]["words"][0]["word"] == "faé" and rows["fRos.4"]["folio"] == "fRos"
+    counts = transcription.page_counts(transcription.read_records(spark, str(tmp_path / "r.txt"))).where("page = 'f1r'").first()
+    assert (counts["lines"], counts["kept"], counts["left_out"]) == (4, 5, 0)
 
 
 def test_neighbours(spark, tmp_path):
