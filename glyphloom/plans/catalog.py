@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import boundaries, controls, fingerprints, measures, models, profiles, selection, transcriptions  # noqa: F401  they register their queries
+from . import boundaries, controls, fingerprints, measures, models, profiles, recovery, selection, transcriptions  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
