@@ -440,6 +440,61 @@ def test_urls(spark):
     assert (((urls.boost(x, y).margin(x)) > 0) == y).mean() > 0.95
 
 
+@pytest.mark.parametrize("name", ["quality_base", "url_rules"])
+def test_plain_columns_against_sql(spark, name):
+    from glyphloom.llm import queries
+    from tests.oracle import connect, differences
+
+    assert differences(queries.queries()[name](spark, SF), queries.oracle_sql()[name], connect(SF)) == ""
+
+
+def test_rules_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    hosts = ["net", "a.net", "example.net", "WWW.Example.NET", "xexample.net", "example.com", "sub.example.com", "org", "b.org", "borg", "", "net.com"]
+    paths = ["", "/", "/en/", "/en", "/de/x", "/EN/", "/fr/y", "//", "/de//"]
+    rows = [(i, f"{rng.choice(['http', 'x', ''])}{rng.choice(['://', ':/'], p=[0.9, 0.1])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?a=/en/', '#/de/', '?x://y.net/'])}") for i in range(400)]
+
+    def by_hand(url):
+        rest = url.partition("://")[2] if "://" in url else ""
+        host = re.split("[/?#]", rest)[0]
+        path = re.split("[?#]", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fit = [r for _, r in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return host, path, max(fit, key=len, default=None)
+
+    judged = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r["page_id"]: (r["host"], r["path"], r["rule"]) for r in judged} == {i: by_hand(u) for i, u in rows}
+    assert all(r["verdict"] == dict((rule, v) for v, rule in urls.RULES)[r["rule"]] for r in judged if r["rule"])
+
+
+def test_toxicity_matches_against_brute_force():
+    """The composed table against a direct reading of what the three transducers say."""
+    rng = np.random.default_rng(13)
+    lexicon = toxicity.Lexicon(frozenset(["blorg"]))
+    words = ["blorg", "kill", "you", "not", "said", '"', ".", "tree", "house", ","]
+    for _ in range(400):
+        tokens = rng.choice(words, int(rng.integers(0, 25))).tolist()
+        want = [0] * toxicity.KINDS
+        denied = aimed = 0
+        said = quoted = False
+        for t in tokens:
+            if t in ("blorg", "kill"):
+                want[(denied > 0) + 2 * (said or quoted) + 4 * (aimed > 0) + 8 * (t == "kill")] += 1
+            denied, aimed = max(0, denied - 1), max(0, aimed - 1)
+            if t == "not":
+                denied = toxicity.REACH_NOT
+            elif t == "you":
+                aimed = toxicity.REACH_AIM
+            elif t == "said":
+                said = True
+            elif t == '"':
+                quoted = not quoted
+            elif t in ".,":
+                denied = aimed = 0
+                said = False
+        assert lexicon.matches(" ".join(tokens)) == want, tokens
+
+
 def test_trees_as_columns(spark):
     rng = np.random.default_rng(1)
     x = rng.random((200, len(urls.FEATURES)))
