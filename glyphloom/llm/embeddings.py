@@ -18,13 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, lean, release, settle, whole_groups
-from .components import components
+from .components import components, counted
 from .jaccard import Forest
 
 #: A code has a CODES-th of the directions that would do if their hits were independent; pairs on which a code's misses are measured; vectors compared in one product.
 BUCKET, BLOCK, PARTS, CODES, MISS, SEED, TRIALS, TILE = 400, 8192, 2, 24, 1e-3, 20, 4000, 1024
 
 
+#: Groups of more than a block are told to all tasks if there are so many at most.
+SENT = 1 << 18
+
+
 def tail(t: float) -> float:
     return 0.5 * math.erfc(t / math.sqrt(2))
 
@@ -222,8 +226,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, key: str = "vec_id", v
 
 def in_blocks(rows: DataFrame, group: str, *what: str) -> DataFrame:
     """The rows of each group in blocks, block against block in a task of its own."""
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).where("n > 1").select(group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = rows.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+    many, n = counted(rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(group, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), F.lit(True))
+    many = F.broadcast(many) if n <= SENT else many  # else Spark shuffles both sides
+    placed = rows.join(many, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
     keys = [group, "a", "b"]
     return dealt.select(group, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", *what).repartition(*keys).sortWithinPartitions(*keys)
