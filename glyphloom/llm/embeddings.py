@@ -22,7 +22,7 @@ from .components import components, counted
 from .jaccard import Forest
 
 #: A code has a CODES-th of the directions that would do if their hits were independent; pairs on which a code's misses are measured; vectors compared in one product.
-BUCKET, BLOCK, PARTS, CODES, MISS, SEED, TRIALS, TILE = 400, 8192, 2, 24, 1e-3, 20, 4000, 1024
+BUCKET, BLOCK, PARTS, CODES, MISS, SEED, TRIALS, TILE = 400, 8192, 2, 24, 1e-4, 20, 4000, 1024
 
 
 #: Groups of more than a block are told to all tasks if there are so many at most.
