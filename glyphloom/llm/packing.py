@@ -8,6 +8,7 @@ Defined results: a null text counts as empty; an empty text is one piece, the se
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 import zlib
@@ -24,8 +25,8 @@ from pyspark.sql import types as T
 from .bpe import byte_letters
 from .common import col, give_back, kept, schema_of, settle, small_batches
 
-#: A plan takes about so many steps at most besides one for each length.
-MOVES = 1 << 16
+#: The change that stands for a gap without bins.
+NEVER = np.iinfo(np.int64).max
 #: Fixed value: the pattern that parts text before the merges of byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -99,50 +100,137 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0,
     return rows.mapInArrow(run, schema_of(rows, "k", **more)).withColumnRenamed("k", key)
 
 
+def level_choices(bins: np.ndarray, s: int, left: int, capacity: int) -> np.ndarray:
+    """How many of `left` pieces of length s go to each open gap, placed one by one where the sum of squares becomes smallest, in the least gap where choices are level; `left` is less than the gaps can take.
+
+    A piece changes two gaps that lie s apart, so gaps of one remainder are a chain that no other chain touches: row j, column r stands for gap j * s + r. The chains go up level by level together, and where four levels repeat the last four, all repetitions until a gap runs empty or another comes in are taken at once. Only what is left in the last level is placed piece by piece. Counts are those of single steps throughout.
+    """
+    high = -(-capacity // s)
+    open_bins = np.zeros(high * s, np.int64)
+    open_bins[1:capacity] = bins[1:capacity]  # full bins do not count, nor do those yet to be opened
+    open_bins = open_bins.reshape(high, s)
+    taken = np.zeros_like(open_bins)
+
+    def changes() -> np.ndarray:
+        out = np.full_like(open_bins, NEVER)
+        out[1:] = 2 * (open_bins[:-1] - open_bins[1:]) + 2
+        out[1, 0] = 1 - 2 * open_bins[1, 0]
+        return out
+
+    def move(rows: np.ndarray, columns: np.ndarray) -> None:
+        taken[rows, columns] += 1
+        open_bins[rows, columns] -= 1
+        open_bins[rows - 1, columns] += 1
+        open_bins[0, 0] = 0
+
+    def up_to(level: int, most: int) -> int:
+        """Every choice that is no worse than the level; how many were taken, or so far if they are more than most."""
+        n = 0
+        while n <= most:
+            change = np.where(open_bins > 0, changes(), NEVER)
+            best = change.argmin(0)
+            columns = np.nonzero(change[best, every] <= level)[0]
+            if not len(columns):
+                break
+            move(best[columns], columns)
+            n += len(columns)
+        return n
+
+    every = np.arange(s)
+    while left:
+        change = np.where(open_bins > 0, changes(), NEVER)
+        level = int(change.min())
+        if np.count_nonzero(change.min(0) <= level) >= left:
+            break
+        before = open_bins.copy(), taken.copy(), changes()
+        n = up_to(level + 3, left)
+        if n > left:
+            open_bins, taken = before[0].copy(), before[1].copy()
+            n = up_to(level, left)
+            if n > left:
+                open_bins, taken = before[0], before[1]
+                break
+            left -= n
+            continue
+        left -= n
+        own, now, gain = taken - before[1], changes(), open_bins - before[0]
+        some = own > 0
+        if (now[some] == before[2][some] + 4).all() and (np.minimum(before[0], open_bins)[some] > own[some]).all():
+            again = left // n
+            falling = some & (gain < 0)
+            if falling.any():
+                again = min(again, int(((open_bins - own - 1)[falling] // -gain[falling]).min()))
+            others = ~some & (open_bins > 0)
+            others[0] = False
+            if others.any():
+                again = min(again, int(((now - level - 4)[others] // ((before[2] - now)[others] + 4)).min()))
+            if again > 0:
+                open_bins += again * gain
+                taken += again * own
+                left -= again * n
+    chains = [[int(x) for x in open_bins[:, r]] for r in range(s)] if left else []
+
+    def best_of(r: int) -> tuple[int, int, int]:
+        x = chains[r]
+        return min(((2 * (x[j - 1] - x[j]) + 2 if r or j > 1 else 1 - 2 * x[1], j * s + r, r) for j in range(1, high) if x[j]), default=(NEVER, 0, r))
+
+    heap = [best_of(r) for r in range(len(chains))]
+    heapq.heapify(heap)
+    for _ in range(left):
+        _, g, r = heap[0]
+        j = g // s
+        chains[r][j] -= 1
+        chains[r][j - 1] += g > s
+        taken[j, r] += 1
+        heapq.heapreplace(heap, best_of(r))
+    return taken.ravel()[:capacity]
+
+
 def plan(histogram: dict[int, int], capacity: int) -> np.ndarray:
     """Rows (length, first rank, number, first sequence, offset): so many pieces of that length, from that rank on, go to as many sequences from that one on, at that offset.
 
-    Placing a piece of length s into gap g takes a bin from g and gives one to g - s; the sum of squares changes by 2 * (bins[g - s] - bins[g]) + 2, or by 1 - 2 * bins[g] if the bin becomes full. While a choice stays the best, all it takes are placed at once; choices that are level take turns in steps of a MOVES-th of all pieces.
+    Placing a piece of length s into gap g takes a bin from g and gives one to g - s; the sum of squares changes by 2 * (bins[g - s] - bins[g]) + 2, or by 1 - 2 * bins[g] if the bin becomes full. The pieces of a length are counted by the gap they go to as if placed one by one, then leave the gaps from the greatest on. Once no gap takes one, a new bin takes all that it can hold of those left, then the next.
     """
     bins = np.zeros(capacity + 1, np.int64)
     stacks: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # runs of [first sequence, number] by gap
-    rows, sequences, ranks = [], 0, dict.fromkeys(histogram, 0)
-    quantum = max(1, sum(histogram.values()) // MOVES)
-    worst = np.iinfo(np.int64).max
+    rows, sequences = [], 0
+    gaps = np.arange(capacity)
     for s in sorted(histogram, reverse=True):
-        left = histogram[s]
-        while left:
-            change = 2 * (bins[: capacity - s] - bins[s:capacity]) + 2  # by g - s for gaps s to capacity - 1
-            if s < capacity:
-                change[0] = 1 - 2 * bins[s]
-                change = np.where(bins[s:capacity] > 0, change, worst)
-            if bins[s:capacity].any():
-                g = s + int(change.argmin())
-                best = int(change[g - s])
-                change[g - s] = worst
-                n = min(left, int(bins[g]), max(quantum, (min(int(change.min()), worst // 2) - best) // 4))
-            else:
-                g, n = capacity, left
-            left -= n
+        left, rank = histogram[s], 0
+        room = bins[:capacity] * (gaps // s)
+        if left < room.sum():
+            taken = level_choices(bins, s, left, capacity)
+        else:
+            taken = np.zeros(capacity, np.int64)
+            for g in range(capacity - 1, s - 1, -1):  # all that can be held
+                taken[g] = bins[g] + (taken[g + s] if g + s < capacity else 0)
+        left -= int(taken.sum())
+        for g in np.nonzero(taken)[0][::-1].tolist():
+            n = int(taken[g])
+            bins[g] -= n
+            bins[g - s] += n if g > s else 0
             while n:
-                if g == capacity:
-                    first, m = sequences, n
-                    sequences += n
-                else:
-                    run = stacks[g][-1]
-                    m = min(n, run[1])
-                    first = run[0]
-                    run[0] += m
-                    run[1] -= m
-                    if not run[1]:
-                        stacks[g].pop()
-                    bins[g] -= m
-                rows.append((s, ranks[s], m, first, capacity - g))
-                ranks[s] += m
-                n -= m
+                run = stacks[g][-1]
+                m = min(n, run[1])
+                rows.append((s, rank, m, run[0], capacity - g))
                 if g > s:
-                    bins[g - s] += m
-                    stacks[g - s].append([first, m])
+                    stacks[g - s].append([run[0], m])
+                run[0] += m
+                run[1] -= m
+                if not run[1]:
+                    stacks[g].pop()
+                rank += m
+                n -= m
+        each = capacity // s
+        for n, m in ((left // each, each), (1, left % each)):  # bins, pieces in each
+            if n and m:
+                for k in range(m):
+                    rows.append((s, rank, n, sequences, k * s))
+                    rank += n
+                if m * s < capacity:
+                    bins[capacity - m * s] += n
+                    stacks[capacity - m * s].append([sequences, n])
+                sequences += n
     return np.array(rows, np.int64).reshape(-1, 5)
 
 

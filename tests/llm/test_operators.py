@@ -82,6 +82,37 @@ def test_plan_places_every_piece_once():
     assert max(used.values()) <= 256 and len(used) <= 1.006 * sum(k * v for k, v in histogram.items()) / 256
 
 
+def one_by_one(histogram, capacity):
+    """Sequences, and open bins by gap, of the rule of sums of squares looked at anew for each piece."""
+    bins, sequences = [0] * (capacity + 1), 0
+    for s in sorted(histogram, reverse=True):
+        for _ in range(histogram[s]):
+            choices = [(2 * (bins[g - s] - bins[g]) + 2 if g > s else 1 - 2 * bins[g], g) for g in range(s, capacity) if bins[g]]
+            g = min(choices)[1] if choices else capacity
+            sequences += not choices
+            bins[g] -= bool(choices)
+            bins[g - s] += g > s
+    return sequences, bins[1:capacity]
+
+
+@pytest.mark.parametrize(("n", "capacity"), [(300, 60), (60_000, 40), (200_000, 40)])
+def test_plan_is_that_of_single_pieces_at_any_size(n, capacity):
+    rng = np.random.default_rng(n)
+    for lengths in (rng.integers(1, capacity + 1, n), rng.lognormal(2.3, 1, n).astype(int).clip(1, capacity)):
+        histogram = dict(collections.Counter(lengths.tolist()))
+        used = collections.Counter()
+        for s, _, m, sequence, offset in packing.plan(histogram, capacity).tolist():
+            for k in range(sequence, sequence + m):
+                assert used[k] == offset
+                used[k] += s
+        gaps = collections.Counter(capacity - u for u in used.values())
+        assert (len(used), [gaps[g] for g in range(1, capacity)]) == one_by_one(histogram, capacity)
+
+
+def test_plan_fills_new_sequences():
+    assert len({r[3] for r in packing.plan({100: 21}, 2048).tolist()}) == 2  # 20 in one, not one in each
+
+
 def test_quality(spark, docs):
     rows = {r["doc_id"]: r for r in quality.judge(docs, []).collect()}
     for i, t in TEXTS:
