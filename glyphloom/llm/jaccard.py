@@ -2,7 +2,7 @@
 
 A document's set is its distinct word n-grams, as 64-bit hashes. Equal sets are one class from the start. The grams of a set are ordered rare first: by how often the frequent grams occur, then by hash; any order gives the same links, a good one gives few candidates. Two sets whose similarity reaches the threshold share a gram among the first n - ceil(threshold * n) + 1 of each, so only those are dealt out, with the set's size and the gram's place.
 
-Sets that meet at a gram are candidates if their sizes (length filter) and what is left behind the gram (positional filter) allow the overlap. Candidates are cut down by how many grams each set has in SLOTS slots of the hash, which bounds the overlap (suffix filter), and verified once a pair on the sets themselves.
+Sets that meet at a gram are candidates if their sizes (length filter) and what is left behind the gram (positional filter) allow the overlap. Candidates are cut down by how many grams each set has in slots of the hash, which bounds the overlap (suffix filter; a pair that is left has it again with finer slots for long sets, which do not go with every entry), and verified once a pair on the sets themselves, which meet in stars: the set with more pairs goes to one task for each STAR of them, the others come to it.
 
 Only components are wanted, so a group of m near copies isn't expanded to its pairs. First each set is compared with the one before it and the first one at each gram, in order of size. Then sets of different components so far are looked at, at the grams where such meet, in blocks: what leaves a block are the entries that the filters let through to another, then its candidate pairs, if they are no more than DENSE for each entry; these are verified pair by pair. Of a block with more, no more leave than join its entries. What is joined in this way is a cluster; a cluster's sets meet in blocks, each once, all its pairs are judged there, and what leaves a block are as many links as join components. So rows of pairs grow with the entries, never with the square of a group.
 
@@ -26,10 +26,14 @@ from .components import components
 N, PERCENT = 5, 75
 #: Frequent grams known to every task, at most; grams are counted exactly within runs of so many, and reported from so many on.
 FREQUENT, COUNT_RUN, REPORT = 1 << 19, 1 << 21, 3
-#: Sets of one gram in a block, and grams of a block of sets, two of which meet in a task; slots of the suffix filter.
-BLOCK, GRAMS, SLOTS = 2048, 1 << 20, 256
+#: Sets of one gram in a block, and grams of a block of sets, two of which meet in a task; slots of the suffix filter at least, and grams in one of them on average at most.
+BLOCK, GRAMS, SLOTS, PER_SLOT = 2048, 1 << 20, 256, 4
 #: Groups of so many entries are looked through together; blocks with more candidate pairs than this for each entry are dense.
 FEW, DENSE = 64, 8
+#: Words of a sieve of ids.
+SIEVE = 1 << 17
+#: Sets that are compared with one other set in a task, about.
+STAR = 64
 #: A gram counted more often than this is dealt to several tasks.
 HOT = 4096
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -107,35 +111,37 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def classes_and_counts(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: id, class (null without words), size and slots; kind 1: a gram that is frequent in a run of grams, and its count there."""
+    """kind 0: id, class (null without words), size, slots and fine slots; kind 1: a gram that is frequent in a run of grams, and its count there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
+        names = ["kind", "id", "class", "size", "slots", "fine"]
 
         def report() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             some = counts >= REPORT
             k = int(some.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(signed(grams[some])), pa.array(counts[some].astype(np.int64)), pa.nulls(k, pa.binary())], ["kind", "id", "class", "size", "slots"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(signed(grams[some])), pa.array(counts[some].astype(np.int64)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
 
         for b in batches:
-            classes, sizes, parts = [], [], []
+            classes, sizes, parts, fine = [], [], [], []
             for grams in gram_sets(b.column(1).to_pylist(), n):
                 c = class_of(grams) if len(grams) else None
                 classes.append(c)
                 sizes.append(len(grams))
                 parts.append(slots(grams) if len(grams) else None)
+                fine.append(slots(grams, True) if len(grams) else None)
                 if c is not None and c not in seen:
                     seen.add(c)
                     held.append(grams)
                     total += len(grams)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary())], ["kind", "id", "class", "size", "slots"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), b.column(0), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.binary()), pa.array(fine, pa.binary())], names)
             if total >= COUNT_RUN:
                 yield report()
                 held, total = [], 0
         yield report()
 
-    return docs.mapInArrow(lean(run), "kind int, id long, class long, size long, slots binary")
+    return docs.mapInArrow(lean(run), "kind int, id long, class long, size long, slots binary, fine binary")
 
 
 def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -338,7 +344,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, *names[:3]):
             g, a, b, own, c, of, at = (t.column(n).to_numpy() for n in names)
-            part = np.frombuffer(b"".join(t.column("slots").to_pylist()), np.uint8).reshape(len(g), SLOTS)
+            part = Slots(t.column("slots").to_pylist())
             size = at >> 36
             left = size - (at >> 8 & ((1 << 28) - 1))
             new = np.ones(len(g), bool)
@@ -362,9 +368,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
                     j = j[fits(size[i], left[i], size[j], left[j], percent)]
                     if not len(j):
                         continue
-                    most = np.minimum(part[j], part[i]).sum(1, dtype=np.int64)
-                    full = ((part[j] == 255) & (part[i] == 255)).any(1)
-                    j = j[full | (most >= needed(size[i], size[j], percent))]
+                    j = j[part.allow(i, j, needed(size[i], size[j], percent))]
                     if not many:
                         pairs += [(i, x) for x in j.tolist()]
                     forest.link(i - lo, forest.apart(i - lo, j - lo))
@@ -420,9 +424,38 @@ def links_in_clusters(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(lean(run), "a long, b long")
 
 
-def slots(grams: np.ndarray) -> bytes:
-    """How many grams fall in each slot; 255 stands for so many or more."""
-    return np.minimum(np.bincount((grams >> np.uint64(56)).astype(np.int64), minlength=SLOTS), 255).astype(np.uint8).tobytes()
+def slots(grams: np.ndarray, fine: bool = False) -> bytes:
+    """How many grams fall in each slot; 255 stands for so many or more. SLOTS slots, if fine doubled until PER_SLOT grams or fewer come to one: with more, chance alone lets long sets through."""
+    bits = max(SLOTS.bit_length() - 1, (-(-len(grams) // PER_SLOT) - 1).bit_length() if fine else 0)
+    return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+class Slots:
+    """The slots of many sets, by their number."""
+
+    def __init__(self, parts: list[bytes]):
+        self.count = np.array([len(x) for x in parts], np.int64)
+        self.at = np.zeros(len(parts), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for m in np.unique(self.count).tolist():
+            rows = np.nonzero(self.count == m)[0]
+            self.at[rows] = np.arange(len(rows))
+            self.of[m] = np.frombuffer(b"".join(parts[i] for i in rows.tolist()), np.uint8).reshape(-1, m)
+
+    def allow(self, i: np.ndarray | int, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Whether sets i (or set i) and j may share so many grams. Where the numbers of slots differ, those of the longer set are joined."""
+        out = np.zeros(len(j), bool)
+        m, k = np.broadcast_to(self.count[i], len(j)), self.count[j]
+        for a, b in {*zip(m.tolist(), k.tolist())}:
+            some = np.nonzero((m == a) & (k == b))[0]
+            for rows in np.array_split(some, -(-len(some) * max(a, b) // TAKE)):
+                x = self.of[a][self.at[i]][None] if np.ndim(i) == 0 else self.of[a][self.at[i[rows]]]
+                y = self.of[b][self.at[j[rows]]]
+                full = (x == 255).any(1) & (y == 255).any(1)
+                if a != b:
+                    x, y = (z.reshape(len(z), min(a, b), -1).sum(2, dtype=np.int64) for z in (x, y))
+                out[rows] = full | (np.minimum(x, y).sum(1, dtype=np.int64) >= least[rows])
+        return out
 
 
 def sets_of(docs: DataFrame, n: int) -> DataFrame:
@@ -439,7 +472,7 @@ def sets_of(docs: DataFrame, n: int) -> DataFrame:
 def attach(pairs: DataFrame, of: DataFrame, *what: str) -> DataFrame:
     """pairs a, b with what each of them has in `of` (by class), as x_ and y_ columns."""
     side = lambda c, p: of.select(F.col("class").alias(c), *(F.col(w).alias(f"{p}_{w}") for w in what))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", *(f"{p}_{w}" for w in what for p in "xy"))
+    return pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b").select("a", "b", *(f"{p}_{w}" for w in what for p in "xy"))
 
 
 def kept_pairs(rows: DataFrame, test) -> DataFrame:
@@ -454,30 +487,80 @@ def kept_pairs(rows: DataFrame, test) -> DataFrame:
 
 
 def bounded(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Suffix filter: the pairs whose slots allow the overlap."""
+    """Suffix filter: the pairs whose fine slots allow the overlap."""
 
     def test(x: list[bytes], y: list[bytes], n: list[int], m: list[int]) -> np.ndarray:
-        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), SLOTS) for v in (x, y))
-        most = np.minimum(x, y).sum(1, dtype=np.int64)
-        full = ((x == 255) & (y == 255)).any(1)
-        return full | (most >= needed(np.array(n), np.array(m), percent))
+        at = np.arange(len(x))
+        return Slots([*x, *y]).allow(at, at + len(x), needed(np.array(n), np.array(m), percent))
 
-    return kept_pairs(attach(pairs, reps, "slots", "size"), test)
+    return kept_pairs(attach(pairs, reps, "fine", "size"), test)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets reach the threshold."""
+def sieved(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """texts without most of those that have none of the ids: by SIEVE words of 64 bits, which every task gets, so that the others are not dealt out."""
+    word, bit = f"shiftright(xxhash64(id), 6) & {SIEVE - 1}L", "shiftleft(1L, cast(xxhash64(id) & 63 as int))"
+    words = ids.selectExpr(f"{word} AS word", f"{bit} AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return texts.withColumn("word", F.expr(word)).join(F.broadcast(words), "word").where(f"bits & {bit} <> 0").drop("word", "bits")
 
-    def test(x: list[bytes], y: list[bytes]) -> list[bool]:
-        out = []
-        for u, v in zip(x, y):
-            u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-            at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-            o = int((v[at] == u).sum())
-            out.append(100 * o >= percent * (len(u) + len(v) - o))
-        return out
 
-    return kept_pairs(attach(pairs, sets, "grams"), test)
+def sets_in_stars(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """hub, part, place, class and grams of the sets of the pairs, in tasks: of each pair, the class with more pairs is the hub, and the others come to it, STAR to a part; place 0 is the hub's own set. A set leaves the task that makes it once for each part it belongs to."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    degree = both.groupBy("class").agg(F.count("*").alias("n"))
+    of = lambda c: degree.select(F.col("class").alias(c), F.struct("n", "class").alias(f"{c}_n"))
+    ends = pairs.join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_n", "b_n").alias("hub"), F.least("a_n", "b_n").alias("other"))
+    rays = ends.select(F.col("hub.class").alias("hub"), F.pmod(F.xxhash64("other.class"), F.ceil(F.col("hub.n") / STAR)).alias("part"), F.col("other.class").alias("class"))
+    roles = rays.select("hub", "part", F.lit(1).cast("long").alias("place"), "class").union(rays.select("hub", "part", F.lit(0).cast("long").alias("place"), F.col("hub").alias("class")).distinct())
+    own = settle(roles.join(reps.select("class", F.col("rep").alias("id")), "class").groupBy("id").agg(F.collect_list(F.struct("hub", "part", "place", "class")).alias("own")))
+    names = ["hub", "part", "place", "class"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary()])], [*names, "grams"])
+
+        for b in batches:
+            for g, roles in zip(gram_sets(b.column(0).to_pylist(), n), b.column(1).to_pylist()):
+                c = class_of(g) if len(g) else None  # another row may have the id of the class
+                data = g.tobytes()
+                for r in roles:
+                    if r["class"] == c:
+                        rows.append((*(r[x] for x in names), data))
+                        size += len(data)
+                        if size >= TAKE:
+                            yield made()
+                            rows, size = [], 0
+        if rows:
+            yield made()
+
+    small_batches(texts.sparkSession)
+    sets = sieved(texts, own).join(own.hint("merge"), "id").select("t", "own").mapInArrow(lean(run), "hub long, part long, place long, class long, grams binary")  # one way at every size
+    return sets.repartition("hub", "part").sortWithinPartitions("hub", "part", "place")
+
+
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs whose sets reach the threshold. Of a star, a task holds the hub's set alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, hub = None, np.zeros(0, np.uint64)
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for h, place, c, grams in zip(*(b.column(x).to_pylist() for x in ("hub", "place", "class")), b.column("grams")):
+                own = np.frombuffer(grams.as_buffer(), np.uint64)
+                if not place:
+                    of, hub = h, own.copy()
+                elif of == h:
+                    u, v = (own, hub) if len(own) < len(hub) else (hub, own)
+                    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+                    o = int((v[at] == u).sum())
+                    if 100 * o >= percent * (len(u) + len(v) - o):
+                        found.append((min(h, c), max(h, c)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return sets_in_stars(pairs, reps, texts, n).mapInArrow(lean(run), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -491,35 +574,32 @@ def similar_documents(docs: DataFrame, n: int = N, percent: int = PERCENT, key:
     first = settle(classes_and_counts(texts, n))
     known, counts = frequent(first.where("kind = 1"))
     rows = first.where("kind = 0").select("id", "class", "size")
-    reps = settle(first.where("kind = 0 and class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("slots").alias("slots")))
+    reps = settle(first.where("kind = 0 and class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("slots").alias("slots"), F.first("fine").alias("fine")))
 
     met = settle(meetings(prefixes(texts, known, counts, n, percent), percent))
     release()
     pairs = lambda c: met.where(f"{c} is not null").select(F.least("class", c).alias("a"), F.greatest("class", c).alias("b"))
 
     def sets_for(classes: DataFrame) -> DataFrame:
-        ids = classes.join(reps, "class").select(F.col("rep").alias("id"))
+        ids = classes.join(reps, "class").select(F.col("rep").alias("id")).distinct()
         small_batches(spark)
-        return settle(sets_of(texts.join(ids.hint("merge"), "id", "left_semi"), n))  # one way at every size
+        return settle(sets_of(sieved(texts, ids).join(ids.hint("merge"), "id").select("id", "t"), n))  # one way at every size
 
     near = settle(bounded(pairs("before").union(pairs("pivot")).distinct(), reps, percent))
-    sets = sets_for(near.select(F.col("a").alias("class")).union(near.select("b")).distinct())
-    release()
-    links = settle(verified(near, sets, percent))
-    release(near, sets)
+    links = settle(verified(near, reps, texts, n, percent))
+    release(near)
     of = settle(components(links))
     with_component = lambda x: x.join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component_id", "class")).drop("component_id")
     through = settle(met_across(dealt_out(with_component(met.select("gram", "class", "at")), "gram", F.lit(1), BLOCK, "at"), percent))
     release(met)
     keys = ["gram", "a", "b"]
-    maybe = settle(candidates(in_tasks(through.join(reps.select("class", "slots"), "class").select(*keys, "own", "class", "component", "at", "slots"), *keys), percent))
+    maybe = settle(candidates(in_tasks(through.join(reps.select("class", "slots").hint("merge"), "class").select(*keys, "own", "class", "component", "at", "slots"), *keys), percent))
     release(through)
     ordered = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense")
     if not maybe.isEmpty():
-        few = settle(ordered.where("not dense").select("a", "b").distinct())
-        sets = sets_for(few.select(F.col("a").alias("class")).union(few.select("b")).distinct())
-        links = settle(links.union(verified(few, sets, percent)))
-        release(few, sets)
+        few = settle(bounded(ordered.where("not dense").select("a", "b").distinct(), reps, percent))
+        links = settle(links.union(verified(few, reps, texts, n, percent)))
+        release(few)
         of = settle(components(links))
     many = settle(ordered.where("dense").select("a", "b").distinct())
     if not many.isEmpty():

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
@@ -246,6 +247,59 @@ def test_jaccard_in_blocks(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(df).collect()} == want
 
 
+def shared(n, common, seed=0):
+    """Two sets of n grams with so many in common."""
+    x = np.unique(np.random.default_rng(seed).integers(0, 1 << 63, 2 * n + 100, np.uint64) * np.uint64(2))[: 2 * n - common]
+    x = np.random.default_rng(seed).permutation(x)
+    return np.sort(x[:n]), np.sort(x[n - common :])
+
+
+def test_slots_part_long_sets_and_lose_none():
+    rng = np.random.default_rng(4)
+    for n in (20, 900, 1100, 2100, 8000, 20_000):
+        kept = [shared(n, -(-75 * 2 * n // 175)), shared(n, n)]
+        kept.append((shared(n, n)[0], shared(n, n)[0][: -(-3 * n // 4)]))  # a part, of other slots
+        for x, y in kept:
+            part = jaccard.Slots([jaccard.slots(x, True), jaccard.slots(y, True)])
+            least = np.array([jaccard.needed(len(x), len(y))])
+            assert part.allow(0, np.array([1]), least).all() and part.allow(np.array([1]), np.array([0]), least).all()
+    for n in (2100, 8000, 20_000):
+        sets = [s for seed in rng.integers(0, 1000, 3).tolist() for s in shared(n, n // 8, seed)]
+        part = jaccard.Slots([jaccard.slots(x, True) for x in sets])
+        assert not part.allow(np.array([0, 2, 4]), np.array([1, 3, 5]), np.full(3, jaccard.needed(n, n))).any()
+
+
+def test_pairs_are_verified_in_stars(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "STAR", 4)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(1, None), (2, "a b c")]
+    for i in range(3, 40):  # a hub, and texts that differ from it from word `cut` on
+        cut = int(rng.integers(40, 61))
+        texts.append((i, " ".join(words[:cut] + [f"x{i}-{k}" for k in range(60 - cut)])))
+    texts += [(7, "another text with the id of one of them"), (8, texts[5][1])]
+    sets = {i: set(jaccard.gram_set(t).tolist()) for i, t in texts[2:39]}
+    classes = {i: jaccard.class_of(jaccard.gram_set(t)) for i, t in texts[2:39]}
+    least = {c: min(i for i in classes if classes[i] == c) for c in classes.values()}
+    pairs = [(least[c], least[d]) for c in least for d in least if c < d]
+    rows = spark.createDataFrame(texts, "id long, t string")
+    reps = spark.createDataFrame([(c, i) for c, i in least.items()], "class long, rep long")
+    both = spark.createDataFrame([(classes[i], classes[j]) for i, j in pairs], "a long, b long")
+    found = {(r["a"], r["b"]) for r in jaccard.verified(both, reps, rows, 5, 75).collect()}
+    alike = {tuple(sorted((classes[i], classes[j]))) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert found == alike and 0 < len(alike) < len(pairs)
+
+
+def test_batches_of_long_rows_are_small(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    jaccard.small_batches(spark)
+    rows = spark.range(0, 90, 1, 1).select(F.expr("repeat('x', 200000)").alias("t"))
+    assert max(r["n"] for r in rows.mapInArrow(run, "n long").collect()) < 8 << 20
+
+
 def test_clusters_in_blocks(spark):
     """Sets of one cluster dealt in blocks: the links that come out join what brute force joins, and are no more than that takes."""
     rng = np.random.default_rng(8)
