@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
-from glyphloom.llm import anchors, bpe, components, dedup, embeddings, jaccard, licenses, packing, quality, sharding, suffixes, toxicity, urls
+from glyphloom.llm import anchors, bpe, common, components, dedup, embeddings, jaccard, licenses, packing, quality, sharding, suffixes, toxicity, urls
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -141,6 +141,16 @@ def test_decision_list_learns_planted_rules():
     assert quality.learn(x[:0], bad[:0]) == [] and quality.learn(x, np.zeros(len(x), bool)) == []
 
 
+@pytest.mark.parametrize(("copies", "others"), [(5000, 200), (5000, 50), (0, 100), (0, 101), (0, 3000), (0, 0)])
+def test_sample_is_the_least_hashes_however_rows_repeat(spark, copies, others):
+    hashed = lambda rows: rows.withColumn("h", F.pmod(F.xxhash64("k", "v"), F.lit(common.GRAIN)))
+    ids = spark.range(others).select("id", (F.col("id") % 7).alias("v"), F.when(F.col("id") % 11 > 0, F.col("id")).alias("k"))
+    last = hashed(spark.range(1000).selectExpr("id as k", "0L as v")).orderBy(F.desc("h")).first()["k"]  # its copies come after the others
+    rows = ids.select("k", "v").union(spark.range(copies).select(F.lit(last).alias("k"), F.lit(0).cast("long").alias("v")))
+    want = sorted((r["h"], str(r["k"]), r["v"]) for r in hashed(rows).collect())[:100]
+    assert sorted((r["h"], str(r["k"]), r["v"]) for r in hashed(common.sample_of(rows, 100, "k", "v")).collect()) == want
+
+
 def test_quality_on_labels(spark):
     d, l = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = quality.judge(d, quality.fit(d, l)).join(l, "doc_id").where("not base_failed").select("quality", "kept").collect()
