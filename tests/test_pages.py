@@ -47,7 +47,7 @@ def test_orders(letters):
     assert abs((got[:, 1] == 1).mean() - letters.count(1) / len(letters)) < 0.05
 
 
-@pytest.mark.parametrize("name", ["edge_coupling_test", "edge_coupling_null"])
+@pytest.mark.parametrize("name", ["edge_coupling_test", "edge_coupling_null", "page_association_null"])
 def test_permutations_stay_in_pages(spark, name):
     """Words are not dealt out one by one, and the arrays are made once, not for each margin."""
     plan = plan_of(spark, name)
