@@ -5,6 +5,8 @@ All chance is a hash of the place, so a control is the same in every engine. A s
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,16 +133,22 @@ def mcnemar_exact(spark, d):
     return f.agg(one("a", "b").alias("only_first"), one("b", "a").alias("only_second")).withColumn("p", F.round(binomial_two_sided(F.col("only_first"), F.col("only_second")), 8))
 
 
-def log_factorials(n: Column) -> Column:
-    """log(0!), log(1!), ..., log(n!) as an array."""
-    step = lambda a, k: F.concat(a, F.array(F.element_at(a, -1) + F.log(k.cast("double"))))
-    return F.when(n < 1, F.array(F.lit(0.0))).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), n.cast("long")), F.array(F.lit(0.0)), step))
+def log_gamma(x: Column) -> Column:
+    """log(gamma(x)) for x >= 1: Stirling's series at x + 10, less the logarithm of the ten factors between."""
+    y = x.cast("double") + 10
+    product = x.cast("double")
+    for k in range(1, 10):
+        product = product * (x + k)
+    z = 1 / (y * y)
+    series = (1.0 / 12 - z * (1.0 / 360 - z * (1.0 / 1260 - z * (1.0 / 1680 - z / 1188)))) / y
+    return (y - 0.5) * F.log(y) - y + math.log(2 * math.pi) / 2 + series - F.log(product)
 
 
 def binomial_two_sided(a: Column, b: Column) -> Column:
-    """Twice the chance of min(a, b) or fewer of a + b fair coins, 1 at most."""
-    logs = F.transform(F.array(log_factorials(a + b)), lambda f: F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(a, b).cast("long")), F.lit(0.0), lambda s, i: s + F.exp(F.element_at(f, -1) - F.get(f, i) - F.get(f, (a + b) - i) - (a + b) * F.log(F.lit(2.0)))))
-    return F.least(F.lit(1.0), 2 * logs[0])
+    """Twice the chance of min(a, b) or fewer of a + b fair coins, 1 at most: a term for each number of coins, so the work grows with it."""
+    n = (a + b).cast("double")
+    term = lambda i: F.exp(log_gamma(n + 1) - log_gamma(i + 1) - log_gamma(n - i + 1) - n * math.log(2.0))
+    return F.least(F.lit(1.0), 2 * F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(a, b).cast("long")), F.lit(0.0), lambda s, i: s + term(i)))
 
 
 @query("""WITH s AS (SELECT user_id, round(avg(CASE WHEN event_type = 'click' THEN value END) - avg(CASE WHEN event_type = 'view' THEN value END), 6) AS d FROM events GROUP BY user_id), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM s WHERE d <> 0)
