@@ -165,6 +165,17 @@ def packed(messages: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join((m + b"\x80").ljust(56, b"\0") for m in messages), np.uint8).reshape(-1, 56), length
 
 
+def headed(head: bytes, messages: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed messages with the same head before each."""
+    h = len(head)
+    if lengths.max(initial=0) + h > 55:
+        raise ValueError("a message is longer than 55 bytes")
+    out = np.empty_like(messages)
+    out[:, :h] = np.frombuffer(head, np.uint8)
+    out[:, h:] = messages[:, : 56 - h]
+    return out, lengths + h
+
+
 def in_hash_order(hashes: np.ndarray, letters: np.ndarray, place: np.ndarray) -> np.ndarray:
     """hashes: replicates x places x 2, of md5(). The letters (below 32) of each replicate in the order of its hashes, ties by place."""
     keys = hashes[:, :, 0] & ~np.uint64(31) | letters.astype(np.uint64)

@@ -5,11 +5,15 @@ A boundary joins the last glyph of a word (its terminal), the first of the next
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import information as I
+from ..operators import pages as P
+from ..operators import resampling as R
 from ..operators import views as V
 from .controls import md5_of
 from .profiles import toks, turn_tokens
@@ -183,9 +187,7 @@ def records(spark, d) -> DataFrame:
     """doc_id, pos, w, z (the glyphs that touch it), xl and xr (the words beside it, if they are among the most frequent)."""
     tok = toks(spark, d)
     top = V.types(tok).orderBy(F.desc("n"), "w").limit(TOPK).agg(F.collect_list("w").alias("top"))  # TOPK words
-    q = V.within("doc_id")
-    lw, rw = F.lag("w").over(q), F.lead("w").over(q)
-    rows = tok.select("doc_id", "pos", "w", lw.alias("lw"), rw.alias("rw")).crossJoin(F.broadcast(top))  # one row
+    rows = V.beside(V.read(spark, d, "documents"), ("doc_id",), lw=-1, rw=1).crossJoin(F.broadcast(top))  # one row
     side = lambda c, end: F.when(F.col(c).isNull(), end).when(F.array_contains("top", F.col(c)), F.col(c)).otherwise("*")
     z = F.concat(F.coalesce(F.expr("right(lw, 1)"), F.lit("^")), F.lit("|"), F.coalesce(F.expr("left(rw, 1)"), F.lit("$")))
     return rows.select("doc_id", "pos", "w", z.alias("z"), side("lw", "^").alias("xl"), side("rw", "$").alias("xr"))
@@ -198,27 +200,83 @@ def stem_pairs(spark, d) -> DataFrame:
 
 
 def members(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, t (which of the two it is) and the record, for every occurrence of either word of a pair; a word is in few pairs, as its stem has at most 26 endings."""
-    long = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("w"), F.lit(0).alias("t")), F.struct(F.col("b").alias("w"), F.lit(1).alias("t")))).alias("x")).select("a", "b", "x.w", "x.t")
-    return rows.join(long, "w")
-
-
-def coupling(rows: DataFrame, reps: int = 0) -> DataFrame:
-    """rows: a, b, t, z, xl, xr, doc_id, pos. a, b, rep (0: as it is) and s = I(t; xl | z) + I(t; xr | z), with t permuted within a, b and z by a hash in the other replicates."""
-    keys = ["a", "b", "rep", "z"]
-    if reps:
-        base = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))
-        order = md5_of(F.col("rep"), F.col("a"), F.col("b"), F.col("doc_id"), F.col("pos"))
-        own = base.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("doc_id", "pos")))
-        drawn = base.select(*keys, F.col("t").alias("u"), F.row_number().over(Window.partitionBy(*keys).orderBy(F.when(F.col("rep") == 0, F.lit("")).otherwise(order), "doc_id", "pos")).alias("k"))
-        rows = own.join(drawn, [*keys, "k"]).withColumn("t", F.col("u"))
-    else:
-        rows = rows.withColumn("rep", F.lit(0))
-    sides = rows.select(*keys, F.col("t").alias("a_"), F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("xl").alias("x")), F.struct(F.lit("r").alias("side"), F.col("xr").alias("x")))).alias("s"))
-    cells = sides.groupBy(*keys, "s.side", "a_", "s.x").agg(F.count("*").cast("double").alias("n"))
-    w = lambda *c: F.sum("n").over(Window.partitionBy(*keys, "side", *c))
-    piece = F.col("n") * F.log2(F.col("n") * w() / (w("a_") * w("x")))
-    return cells.withColumn("piece", piece).groupBy("a", "b", "rep").agg((2 * F.sum("piece") / F.sum("n")).alias("s"))
+    """a, b, t (which of the two it is) and the row, for every row of either word of a pair; a word is in few pairs, as its stem has at most 26 endings."""
+    return rows.join(member_words(pairs), "w")
+
+
+def member_words(pairs: DataFrame) -> DataFrame:
+    """a, b, w, t: either word of each pair."""
+    return pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("w"), F.lit(0).alias("t")), F.struct(F.col("b").alias("w"), F.lit(1).alias("t")))).alias("x")).select("a", "b", "x.w", "x.t")
+
+
+def residual(cells: DataFrame, *keys: str) -> DataFrame:
+    """cells: keys, z, side, t, x, n. keys and s = I(t; xl | z) + I(t; xr | z)."""
+    own = [*keys, "z", "side"]
+    n = F.col("n").cast("double")
+    w = lambda *c: F.sum(n).over(Window.partitionBy(*own, *c))
+    return cells.withColumn("piece", n * F.log2(n * w() / (w("t") * w("x")))).groupBy(*keys).agg((2 * F.sum("piece") / F.sum(n)).alias("s"))
+
+
+def coupling(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rows: of records(). a, b and the residual information of each pair. Words are counted before they meet their pairs, so what is joined is cells, not occurrences."""
+    sides = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("xl").alias("x")), F.struct(F.lit("r").alias("side"), F.col("xr").alias("x"))))
+    cells = rows.select("w", "z", sides.alias("s")).groupBy("w", "z", "s.side", "s.x").agg(F.count("*").alias("n"))
+    return residual(members(cells, pairs), "a", "b")
+
+
+#: Replicates that one task draws for a stratum.
+DRAWS = 33
+
+
+def drawn_coupling(rows: DataFrame, pairs: DataFrame, reps: int) -> DataFrame:
+    """a, b, rep (0: as it is) and s, with t permuted within a, b and z by a hash in the other replicates. pairs: few, so they are sent to all.
+
+    A stratum's occurrences are gathered once for every DRAWS replicates, by numbers alone; their hashes and cells are made there in arrays, and what leaves a task is a sum for each replicate.
+    """
+    P.short_batches(rows.sparkSession)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((reps + DRAWS - 1) // DRAWS - 1)))
+    own = rows.join(F.broadcast(member_words(pairs)), "w").select("a", "b", "z", "t", F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").alias("page"), "pos", "xl", "xr").withColumn("block", blocks)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("page", "ascending"), ("pos", "ascending")])
+        a, b, block = (table[c][0].as_py() for c in ("a", "b", "block"))
+        t = table["t"].to_numpy().astype(np.int64)
+        x, kinds = [], []
+        for c in ("xl", "xr"):
+            found = table[c].combine_chunks().dictionary_encode()
+            found = found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+            x.append(found.indices.to_numpy().astype(np.int64))
+            kinds.append(len(found.dictionary))
+        keys = [f"{k}|{p}" if k is not None else str(p) for k, p in zip(table["doc_id"].to_pylist(), table["pos"].to_pylist())]
+        tails, sizes = P.packed([k.encode() for k in keys])
+        place = np.arange(len(t))
+        margin = lambda codes, size: R.n_log(np.bincount(codes, minlength=size)).sum()
+        fixed = sum(margin(v, k) for v, k in zip(x, kinds)) + 2 * margin(t, 2) - 2 * R.n_log(np.array(len(t)))
+        low = block * DRAWS + 1
+        wanted = list(range(low, min(reps, low + DRAWS - 1) + 1))
+        step = max(1, P.LANES // len(t))  # replicates of a small stratum are hashed together
+        out: list[tuple[int, float, int]] = []
+
+        def add(rep: int, u: np.ndarray) -> None:
+            piece = sum(R.n_log(np.bincount(v * 2 + u, minlength=2 * k)).sum() for v, k in zip(x, kinds)) - fixed
+            out.append((rep, float(piece), 2 * len(t)))
+
+        if block == 0:
+            add(0, t)
+        for at in range(0, len(wanted), step):
+            some = wanted[at : at + step]
+            heads = [f"{rep}|{a}|{b}|".encode() for rep in some]
+            parts = [P.headed(h, tails[i : i + P.LANES], sizes[i : i + P.LANES]) for h in heads for i in range(0, len(tails), P.LANES)] if step > 1 else None
+            if parts:
+                hashes = P.md5(np.concatenate([m for m, _ in parts]), np.concatenate([l for _, l in parts]))
+            else:
+                hashes = np.concatenate([P.md5(*P.headed(heads[0], tails[i : i + P.LANES], sizes[i : i + P.LANES])) for i in range(0, len(tails), P.LANES)])
+            for rep, u in zip(some, P.in_hash_order(hashes.reshape(len(some), -1, 2), t, place)):
+                add(rep, u)
+        rep, piece, n = zip(*out)
+        return pa.table({"a": [a] * len(out), "b": [b] * len(out), "rep": pa.array(rep, pa.int32()), "piece": pa.array(piece), "n": pa.array(n, pa.int64())})
+
+    return own.groupBy("a", "b", "z", "block").applyInArrow(run, "a string, b string, rep int, piece double, n long").groupBy("a", "b", "rep").agg((2 * F.sum("piece") / F.sum("n")).alias("s"))
 
 
 CPL = """m AS (SELECT a, b, CASE WHEN w = a THEN 0 ELSE 1 END AS t, z, xl, xr, doc_id, pos FROM {prs} JOIN rc ON rc.w = a OR rc.w = b),
@@ -230,7 +288,7 @@ sc AS (SELECT a, b, rep, 2 * sum(n * log2(n * nz / (nt * nx))) / sum(n) AS s FRO
 @query(f"WITH {TOK}, {REC}, {CPL.format(prs='prs', reps=0)} SELECT a, b, round(s, 7) AS s FROM sc")
 def stem_pair_information(spark, d):
     """The residual information of every pair of frequent words of one stem."""
-    return coupling(members(records(spark, d), stem_pairs(spark, d))).select("a", "b", F.round("s", 7).alias("s"))
+    return coupling(records(spark, d), stem_pairs(spark, d)).select("a", "b", F.round("s", 7).alias("s"))
 
 
 TOP_PAIRS = "(SELECT prs.a, prs.b FROM prs JOIN fr f ON f.w = prs.a JOIN fr g ON g.w = prs.b ORDER BY least(f.n, g.n) DESC, prs.a, prs.b LIMIT 3)"
@@ -245,7 +303,7 @@ def top_pairs(spark, d) -> DataFrame:
 @query(f"""WITH {TOK}, {REC}, {CPL.format(prs=TOP_PAIRS, reps=REPS)}, o AS (SELECT a, b, s FROM sc WHERE rep = 0) SELECT a, b, round(max(o.s), 7) AS observed, round(avg(sc.s), 7) AS null_mean, round(max(o.s) - avg(sc.s), 7) AS excess, round((1 + sum(CASE WHEN sc.s >= o.s - 1e-12 THEN 1 ELSE 0 END)) / CAST(1 + count(*) AS DOUBLE), 7) AS p FROM sc JOIN o USING (a, b) WHERE rep > 0 GROUP BY a, b""")
 def residual_coupling_test(spark, d):
     """The pairs of one stem with the most occurrences: their residual information against permutations within the glyphs that touch."""
-    s = coupling(members(records(spark, d), top_pairs(spark, d)), REPS)
+    s = drawn_coupling(records(spark, d), top_pairs(spark, d), REPS)
     o = s.where("rep = 0").select("a", "b", F.col("s").alias("o"))
     high = F.sum(F.when(F.col("s") >= F.col("o") - 1e-12, 1).otherwise(0))
     out = s.where("rep > 0").join(o, ["a", "b"]).groupBy("a", "b").agg(F.max("o").alias("observed"), F.avg("s").alias("null_mean"), ((1 + high) / (1 + F.count("*"))).alias("p"))
@@ -259,8 +317,8 @@ SELECT a, b, CAST(sum(n) AS BIGINT) AS n, round(sum(n * log2(n * na / (nt * nx))
 @query(f"WITH {TOK}, {REC}, {NAIVE}")
 def naive_pair_information(spark, d):
     """Information between which of a pair occurs and the next initial, whatever touches."""
-    rows = members(records(spark, d), stem_pairs(spark, d)).select(F.concat_ws("|", "a", "b").alias("pair"), F.col("t").alias("a"), F.expr("right(z, 1)").alias("b"))
-    mi = I.mutual_information(rows.groupBy("pair", "a", "b").agg(F.count("*").alias("n")), "pair")
+    own = records(spark, d).groupBy("w", F.expr("right(z, 1)").alias("x")).agg(F.count("*").alias("n"))
+    mi = I.mutual_information(members(own, stem_pairs(spark, d)).select(F.concat_ws("|", "a", "b").alias("pair"), F.col("t").alias("a"), F.col("x").alias("b"), "n"), "pair")
     p = F.split("pair", r"\|")
     return mi.select(p[0].alias("a"), p[1].alias("b"), F.col("total").cast("long").alias("n"), F.round("mi", 7).alias("mi"))
 
@@ -292,7 +350,7 @@ def pair_percentiles(spark, d):
     own = top_pairs(spark, d)
     ordered = refs.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     every = ordered.select(F.col("x").alias("a"), F.col("y").alias("b")).union(own).distinct()
-    s = coupling(members(records(spark, d), every)).drop("rep")
+    s = coupling(records(spark, d), every)
     joined = ordered.join(s.withColumnRenamed("s", "own"), ["a", "b"]).join(s.withColumnsRenamed({"a": "x", "b": "y", "s": "ref"}), ["x", "y"])
     share = 100.0 * F.avg(F.when(F.col("ref") <= F.col("own") + 1e-12, 1.0).otherwise(0.0))
     out = joined.groupBy("a", "b").agg(F.round(F.max("own"), 7).alias("s"), F.count("*").alias("n_ref"), share.alias("share"))
@@ -306,8 +364,8 @@ PAGEC = """pc AS (SELECT p.a, p.b, rc.doc_id % 10 AS pg, CASE WHEN rc.w = p.a TH
 @query(f"""WITH {TOK}, {REC}, {PAGEC}, x AS ({mi_sql('cell', 's')}), y AS ({mi_sql('c2', 's')}) SELECT (SELECT CAST(sum(total) AS BIGINT) FROM x) AS n, (SELECT round(sum(total * mi) / sum(total), 7) FROM x) AS given_page, (SELECT round(sum(total * mi) / sum(total), 7) FROM y) AS without_page""")
 def page_confound(spark, d):
     """Information between a pair's member and the next initial, given the stem, and given stem and group of pages."""
-    rows = members(records(spark, d), stem_pairs(spark, d)).select(F.concat_ws("|", "a", "b").alias("pair"), (F.col("doc_id") % 10).alias("pg"), F.col("t").alias("a"), F.expr("right(z, 1)").alias("b"))
-    cells = rows.groupBy("pair", "pg", "a", "b").agg(F.count("*").alias("n"))
+    own = records(spark, d).groupBy("w", (F.col("doc_id") % 10).alias("pg"), F.expr("right(z, 1)").alias("x")).agg(F.count("*").alias("n"))
+    cells = members(own, stem_pairs(spark, d)).select(F.concat_ws("|", "a", "b").alias("pair"), "pg", F.col("t").alias("a"), F.col("x").alias("b"), "n")
     inner = I.conditional_information(cells, "pair", "pg").select(F.col("total").alias("n"), F.round("cmi", 7).alias("given_page"))
     outer = I.conditional_information(cells.groupBy("pair", "a", "b").agg(F.sum("n").alias("n")), "pair").select(F.round("cmi", 7).alias("without_page"))
     return inner.crossJoin(outer)  # one row each
