@@ -131,17 +131,18 @@ def learn_aligner_rows(rows: DataFrame, rounds: int = 15, most: int = 2) -> dict
     """The same from rows s, t, n of any number: counts are made where the rows are, the table (signs by strings of letters) is all that is collected and sent."""
     signs = [r[0] for r in rows.select(F.explode(F.split("s", ""))).distinct().collect() if r[0]]
     letters = [r[0] for r in rows.select(F.explode(F.split("t", ""))).distinct().collect() if r[0]]
+    if most > 2:
+        raise ValueError("a sign makes two letters at most")
     seen = ["", *sorted(letters), *sorted(a + b for a in letters for b in letters)] if most > 1 else ["", *sorted(letters)]
     table = {s: {u: 1.0 / len(seen) / (4 if u == "" else 1) for u in seen} for s in sorted(signs)}
     for _ in range(rounds):
 
         def count(frames: Iterator[pd.DataFrame], now=table) -> Iterator[pd.DataFrame]:
-            sums: dict[tuple[str, str], float] = {}
+            sums = np.zeros((len(now), len(seen)))
             for f in frames:
-                for s, t, n in zip(f["s"], f["t"], f["n"]):
-                    for (sign, u), v in aligner_counts(s, t, now, most).items():
-                        sums[sign, u] = sums.get((sign, u), 0.0) + n * v
-            yield pd.DataFrame([(s, u, v) for (s, u), v in sums.items()], columns=["sign", "u", "v"])
+                sums += aligner_table(f["s"].tolist(), f["t"].tolist(), f["n"].to_numpy(float), now, seen, most)
+            names = sorted(now)
+            yield pd.DataFrame([(names[i], seen[j], sums[i, j]) for i, j in zip(*np.nonzero(sums))], columns=["sign", "u", "v"])
 
         counts: dict[str, dict[str, float]] = {}
         for r in rows.mapInPandas(count, "sign string, u string, v double").groupBy("sign", "u").agg(F.sum("v").alias("v")).collect():
@@ -150,6 +151,47 @@ def learn_aligner_rows(rows: DataFrame, rounds: int = 15, most: int = 2) -> dict
     return {s: max(sorted(u), key=lambda v: (round(u[v], 9), -len(v))) for s, u in table.items()}
 
 
+def aligner_table(s: list[str], t: list[str], n: np.ndarray, table: dict[str, dict[str, float]], seen: list[str], most: int) -> np.ndarray:
+    """aligner_sums() of many pairs, each n times, as signs (sorted) by `seen`: pairs of like lengths go through the recurrences together."""
+    signs, letters = sorted(table), sorted(u for u in seen if len(u) == 1)
+    place = {u: i for i, u in enumerate(seen)}
+    p = np.array([[table[x].get(u, 1e-9) for u in seen] for x in signs]).reshape(len(signs), len(seen))
+    one = np.array([place[u] for u in letters], np.int64)
+    two = np.array([[place.get(u + v, 0) for v in letters] for u in letters], np.int64).reshape(len(letters), len(letters))
+    code, letter = {x: i for i, x in enumerate(signs)}, {u: i for i, u in enumerate(letters)}
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(s, t)):
+        groups.setdefault((len(x), len(y)), []).append(i)
+    out = np.zeros(len(signs) * len(seen))
+    for (a, b), own in groups.items():
+        for at in range(0, len(own), 4096):
+            some = own[at : at + 4096]
+            x = np.array([[code[c] for c in s[i]] for i in some], np.int64).reshape(len(some), a)
+            y = np.array([[letter[c] for c in t[i]] for i in some], np.int64).reshape(len(some), b)
+
+            def unit(j: int, k: int) -> np.ndarray:
+                return np.full(len(some), place[""]) if k == 0 else one[y[:, j]] if k == 1 else two[y[:, j], y[:, j + 1]]
+
+            steps = [(j, k) for j in range(b + 1) for k in range(min(most, b - j) + 1)]
+            ahead, behind = np.zeros((a + 1, b + 1, len(some))), np.zeros((a + 1, b + 1, len(some)))
+            ahead[0, 0] = behind[a, b] = 1.0
+            cells = {(j, k): unit(j, k) for j, k in steps}
+            for i in range(a):
+                for j, k in steps:
+                    ahead[i + 1, j + k] += ahead[i, j] * p[x[:, i], cells[j, k]]
+            for i in range(a - 1, -1, -1):
+                for j, k in steps:
+                    behind[i, j] += p[x[:, i], cells[j, k]] * behind[i + 1, j + k]
+            z = ahead[a, b]
+            share = np.divide(1.0, z, out=np.zeros(len(some)), where=z > 0)
+            weight = n[some]
+            for i in range(a):
+                for j, k in steps:
+                    v = ahead[i, j] * p[x[:, i], cells[j, k]] * behind[i + 1, j + k] * share
+                    out += np.bincount(x[:, i] * len(seen) + cells[j, k], np.where(v > 1e-12, v * weight, 0.0), len(out))
+    return out.reshape(len(signs), len(seen))
+
+
 def aligner_counts(s: str, t: str, table: dict[str, dict[str, float]], most: int) -> dict[tuple[str, str], float]:
     """Expected counts of (sign, letters) over all monotone alignments of one pair."""
     new, _ = aligner_sums([(s, t)], table, most)

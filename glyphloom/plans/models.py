@@ -181,6 +181,9 @@ def viterbi_segments(spark, d):
 def em_aligner(spark, d):
     """Signs of a substitution with one sign of two letters, learned back from all distinct words with their frequencies."""
     rows = V.types(toks(spark, d)).select(F.translate(F.replace("w", F.lit("th"), F.lit("9")), C.LETTERS, KEY).alias("s"), F.col("w").alias("t"), "n")
+    path = f"{shared_folder(spark)}/types-{uuid.uuid4().hex}"  # every round reads the types, not the documents
+    rows.repartition(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
     return spark.createDataFrame(sorted(S.learn_aligner_rows(rows, 4).items()), "sign string, letters string")
 
 

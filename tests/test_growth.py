@@ -2,15 +2,30 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glyphloom.operators import sequences as S
 from glyphloom.operators import views as V
 from glyphloom.plans.controls import binomial_two_sided
 
 from .test_pages import plan_of
 
 
+def test_aligner_table():
+    seen = ["", "a", "b", "c", *(x + y for x in "abc" for y in "abc")]
+    rng = np.random.default_rng(2)
+    table = {s: {u: float(rng.random()) for u in seen if rng.random() < 0.9} for s in "xyz"}
+    s, t, n = ["xyz", "zz", "x", "", "xyzzy"], ["abca", "cab", "", "a", "abcab"], np.array([3.0, 1.0, 2.0, 5.0, 1.0])
+    got = S.aligner_table(s, t, n, table, seen, 2)
+    want = np.zeros((3, len(seen)))
+    for x, y, k in zip(s, t, n):
+        for (sign, u), v in S.aligner_counts(x, y, table, 2).items():
+            want["xyz".index(sign), seen.index(u)] += k * v
+    assert np.allclose(got, want, rtol=1e-9, atol=1e-15)
+
+
 @pytest.mark.parametrize(("a", "b"), [(0, 0), (0, 3), (1, 2), (5, 5), (40, 61), (100_300, 99_900)])
 def test_binomial_two_sided(spark, a, b):
     """The largest took arrays of every length up to 200,200."""
